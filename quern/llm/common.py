@@ -161,3 +161,104 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select("node", F.col("node").alias("root")))
+
+
+FILTER_BITS, SEGMENT_BITS = 27, 20
+
+
+def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A Bloom filter of 2^bits bits, one a key, over a column of longs: a fixed size whatever their number.
+
+    It is made segment by segment; the driver gets each segment once, compressed.
+    """
+    out = pa.schema([("segment", pa.int32()), ("bits", pa.binary())])
+    segments = 1 << max(0, bits - SEGMENT_BITS)
+    low = min(bits, SEGMENT_BITS)
+
+    def places(batches):
+        for b in batches:
+            at = np.unique(mix(b.column(0).drop_null().to_numpy().view(np.uint64)) & np.uint64((1 << bits) - 1))
+            rows = [(p, pack(at[i].astype(np.uint32))) for p, i in split_by((at >> np.uint64(low)).astype(np.int32), segments)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=out)
+
+    def fill(batches):
+        sets: dict[int, np.ndarray] = {}
+        for b in batches:
+            for s, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sets.setdefault(s, np.zeros(1 << low, bool))[unpack(at, np.uint32) & np.uint32((1 << low) - 1)] = True
+        for s, x in sets.items():
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([pack(np.packbits(x, bitorder="little"))], pa.binary())], schema=out)
+
+    whole, width = np.zeros(1 << (bits - 3), np.uint8), 1 << (low - 3)
+    n = min(partitions(keys.sparkSession), segments)
+    for s, x in keys.mapInArrow(places, "segment int, bits binary").repartitionById(n, "segment").mapInArrow(fill, "segment int, bits binary").collect():
+        whole[s * width : (s + 1) * width] = unpack(bytes(x), np.uint8)
+    return whole
+
+
+def may_hold(whole: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = mix(keys) & np.uint64(8 * len(whole) - 1)
+    return (whole[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+
+
+def sorted_groups(batches, keys: list[str]):
+    """Groups of equal keys in a stream of record batches sorted by them: lists of row tuples, in column order."""
+    held: list[tuple] = []
+    last = None
+    for b in batches:
+        cols = [c.to_pylist() for c in b.columns]
+        at = [b.schema.get_field_index(k) for k in keys]
+        for row in zip(*cols, strict=True):
+            k = tuple(row[i] for i in at)
+            if k != last and held:
+                yield held
+                held = []
+            last = k
+            held.append(row)
+    if held:
+        yield held
+
+
+def blocks(members: DataFrame, size: int) -> DataFrame:
+    """Members of components, dealt to blocks: columns root, lo, hi, half and what members had.
+
+    A component of up to `size` members is one block (lo = hi = 0).  A larger one is cut
+    into chunks by a hash of `node`, and every unordered pair of chunks is a block, so
+    that every pair of members meets in exactly one block (half tells the chunk; where
+    lo = hi all pairs count, else those across) and no task holds more than about two
+    chunks.  Rows come sorted by block within partitions.
+    """
+    n = members.groupBy("root").agg(F.count("*").alias("members"))
+    cut = members.join(n, "root").withColumn("chunks", F.ceil(F.col("members") / size).cast("int"))
+    cut = cut.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    cut = cut.select("*", other).select(*members.columns, F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), F.col("chunk").alias("half"))
+    return cut.repartition(partitions(members.sparkSession), "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
+
+
+class Union:
+    """Disjoint sets over 0..n-1."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        self.up[max(a, b)] = min(a, b)
+        return True
+
+
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name

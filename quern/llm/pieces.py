@@ -7,7 +7,10 @@ are kept in a bounded cache of the worker.  Encoding chunk by chunk is then exac
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
+import re
 
 import numpy as np
 
@@ -31,31 +34,95 @@ def encode(path: str, texts: list[str]) -> list[list[int]]:
     return [e.ids for e in load(path).encode_batch_fast(texts, add_special_tokens=False)]
 
 
+#: Letters whose case and class every library agrees on, and punctuation that stands alone after one.
+PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+BEYOND = re.compile("[^\\x00-\\xff]")
+STOP = re.compile(r"(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])[.,](?=[ \n]|\Z)")
+LINE = 64  # words encoded together
+
+
+class Table(dict):
+    """A dictionary that notes, in order, what it was asked for and lacks."""
+
+    def __init__(self, *a):
+        super().__init__(*a)
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> None:
+        self.new.append(key)
+
+
 class ChunkIds:
-    """Ids of texts whose tokenizer drops white space, as bytes of little-endian uint32.
+    """Ids of texts whose tokenizer drops white space and marks word ends, as bytes of little-endian uint32.
 
     Spaces and line feeds are white space to every such tokenizer; no token, and no
-    special string, holds one, and no composed character spans one.  `most` chunks
-    are cached; a full cache is emptied, which changes times only.
+    special string, holds one, and no composed character spans one.  A stop between a
+    letter and white space is a word of its own, and texts of Latin-1 letters are looked
+    up in lower case if the tokenizer lowers them: both make for fewer distinct chunks.
+    New plain words are encoded many at a time and told apart by their end marks,
+    everything else chunk by chunk.  About `most` chunks are cached; a full cache keeps
+    those of at most two tokens.  That changes times only.
     """
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
-        self.path, self.most, self.longest, self.ids = path, most, longest, {"": b""}
+    def __init__(self, path: str, most: int = 1_200_000, longest: int = 64):
+        self.path, self.most, self.longest, self.ids = path, most, longest, Table({"": b""})
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab = spec["model"]["vocab"]
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        for w, i in vocab.items():
+            self.ends[i] = bool(suffix) and w.endswith(suffix)
+        self.lower = encode(path, ["AbÀ"]) == encode(path, ["abà"])
+
+    def _encode(self, chunks: list[str]) -> None:
+        for i in range(0, len(chunks), 8192):
+            part = chunks[i : i + 8192]
+            for w, ids in zip(part, encode(self.path, part), strict=True):
+                self.ids[w] = np.array(ids, "<u4").tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        known = self.ids
+        plain = [w for w in new if PLAIN.fullmatch(w)] if self.ends.any() else []
+        odd = list(new.difference(plain))
+        for i in range(0, len(plain), 512 * LINE):
+            some = plain[i : i + 512 * LINE]
+            rows = encode(self.path, [" ".join(some[j : j + LINE]) for j in range(0, len(some), LINE)])
+            flat = np.fromiter(itertools.chain.from_iterable(rows), np.uint32)
+            cuts = (np.flatnonzero(self.ends[flat]) + 1).tolist()
+            if len(cuts) != len(some):  # not one end mark a word: no such tokenizer is known
+                odd += some
+                continue
+            raw, at = flat.astype("<u4").tobytes(), 0
+            for w, end in zip(some, cuts, strict=True):
+                known[w] = raw[4 * at : 4 * end]
+                at = end
+        self._encode(odd)
+
+    def _cut(self, t: str) -> list[str]:
+        if self.lower and (t.isascii() or not BEYOND.search(t)):
+            t = t.lower()
+        return STOP.sub(r" \g<0>", t).replace("\n", " ").split(" ")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.ids) > self.most:
+            few = {w: b for w, b in self.ids.items() if len(b) <= 8}
+            self.ids = Table(few if len(few) <= self.most // 2 else {"": b""})
         known = self.ids
-        if len(known) > self.most:
-            known.clear()
-            known[""] = b""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in cut for w in words} - known.keys())
-        for i in range(0, len(new), 8192):
-            part = new[i : i + 8192]
-            for w, ids in zip(part, encode(self.path, part), strict=True):
-                known[w] = np.array(ids, "<u4").tobytes()
-        got = known.__getitem__
-        out = [b"".join(map(got, words)) for words in cut]
+        get = known.__getitem__
+        out, late = [], []
+        for k, t in enumerate(texts):
+            ids = list(map(get, self._cut(t)))
+            if known.new:
+                late.append((k, known.new))
+                known.new = []
+            out.append(ids)
+        new = {w for _, words in late for w in words}
+        self._learn(new)
+        for k, words in late:
+            rest = map(get, words)
+            out[k] = [next(rest) if i is None else i for i in out[k]]
         for w in new:
             if len(w) > self.longest:
                 del known[w]
-        return out
+        return [b"".join(ids) for ids in out]

@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import pack, unpack
-from quern.llm.pieces import encode, load
+from quern.llm.pieces import LINE, PLAIN, STOP, encode, load
 
 TABLE = 32_768
-CACHE = 300_000
+CACHE = 1_200_000
 LONGEST = 48
 GROUP = 64
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -53,7 +53,7 @@ def chunks(text: str, special: list[str]) -> list[str]:
     if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or ODD.search(text):
         first, *rest = CUT.split(text)
         return [first, *[" " + w for w in rest]]
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+    return STOP.sub("\0\\g<0>", text).replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
 
 def prune(c: Counter, k: int) -> Counter:
@@ -118,6 +118,29 @@ def frequent(docs: DataFrame, tokenizer: str, table: int) -> list[str]:
     return sorted(total, key=lambda w: (-total[w], w))
 
 
+def learn(tokenizer: str, new: set[str], known: dict[str, int]) -> None:
+    """Token counts of new chunks.
+
+    Plain letters after a space are one pre-token, so many of them are encoded as one
+    string and told apart by the library's word numbers.  All others are encoded one by one.
+    """
+    t = load(tokenizer)
+    plain = [w for w in new if w[:1] == " " and PLAIN.fullmatch(w, 1)]
+    odd = list(new.difference(plain))
+    for i in range(0, len(plain), 512 * LINE):
+        some = plain[i : i + 512 * LINE]
+        rows = [some[j : j + LINE] for j in range(0, len(some), LINE)]
+        for row, e in zip(rows, t.encode_batch(["".join(r) for r in rows], add_special_tokens=False), strict=True):
+            n = np.bincount(np.array(e.word_ids, np.int64))
+            if len(n) == len(row):
+                known.update(zip(row, n.tolist(), strict=True))
+            else:
+                odd += row
+    for i in range(0, len(odd), 8192):
+        some = odd[i : i + 8192]
+        known.update(zip(some, map(len, t.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, table: int = TABLE, cache: int = CACHE) -> DataFrame:
     """Per row of documents: doc_id, UTF-8 bytes, tokens, and whether they are more than `limit`.
 
@@ -146,18 +169,14 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, table: int =
             for lo in range(0, len(texts), 256):
                 part = [t or "" for t in texts[lo : lo + 256]]
                 cut = [chunks(t, special) for t in part]
+                got = [list(map(first.get, words)) for words in cut]
                 if len(miss) > cache:
                     miss.clear()
-                new = list({w for words in cut for w in words} - first.keys() - miss.keys())
-                for i in range(0, len(new), 8192):
-                    some = new[i : i + 8192]
-                    miss.update(zip(some, map(len, load(tokenizer).encode_batch_fast(some, add_special_tokens=False)), strict=True))
-                get1, get2 = first.get, miss.__getitem__
-                for t, words in zip(part, cut, strict=True):
-                    got = list(map(get1, words))
-                    if None in got:
-                        got = [get2(w) if n is None else n for w, n in zip(words, got, strict=True)]
-                    counts.append(sum(got))
+                rest = [[w for w, n in zip(words, ns, strict=True) if n is None] if None in ns else () for words, ns in zip(cut, got, strict=True)]
+                new = {w for words in rest for w in words} - miss.keys()
+                learn(tokenizer, new, miss)
+                for t, ns, words in zip(part, got, rest, strict=True):
+                    counts.append(sum(n for n in ns if n is not None) + sum(map(miss.__getitem__, words)) if words else sum(ns))
                     sizes.append(len(t.encode()))
                 for w in new:
                     if len(w) > LONGEST:
