@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.session import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,9 +45,33 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_repeated, and the text that is left."""
+    from quern.llm.line_dedup import dedup
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out, gone = dedup(docs.withColumn("n_lines", F.size(F.split("text", "\n", -1))))
+    return out.select("doc_id", "n_lines", F.coalesce(F.size(F.col(gone)), F.lit(0)).alias("n_repeated"), "text")
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.ngram_join import join
+
+    return join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_lm_scoring, op6_token_counts, op9_language_id, op10_packing]
-    return {f.__name__: f for f in found}
+    found = [op1_lm_scoring, op3_line_dedup, op6_token_counts, op7_ngram_join, op9_language_id, op10_packing]
+    return {f.__name__: _shipped(f) for f in found}
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def oracle_sql() -> dict[str, str]:
