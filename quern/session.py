@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -42,9 +44,10 @@ def ship(spark: SparkSession) -> None:
     seen = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if any(Path(p).resolve() == parent for p in seen) or Path.cwd() == parent:
         return
-    with tempfile.TemporaryDirectory() as folder:
-        path = f"{folder}/quern.zip"
-        with zipfile.ZipFile(path, "w") as z:
-            for f in ROOT.rglob("*.py"):
-                z.write(f, f.relative_to(parent))
-        sc.addPyFile(path)
+    folder = tempfile.mkdtemp(prefix="quern-")  # Spark serves the file from here for as long as the session lives
+    atexit.register(shutil.rmtree, folder, True)
+    path = f"{folder}/quern.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in ROOT.rglob("*.py"):
+            z.write(f, f.relative_to(parent))
+    sc.addPyFile(path)
