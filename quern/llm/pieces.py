@@ -30,6 +30,15 @@ def load(path: str):
     return _loaded[path]
 
 
+def load_spec(spec: dict):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_str(json.dumps(spec))
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
 def encode(path: str, texts: list[str]) -> list[list[int]]:
     return [e.ids for e in load(path).encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -38,6 +47,7 @@ def encode(path: str, texts: list[str]) -> list[list[int]]:
 PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 BEYOND = re.compile("[^\\x00-\\xff]")
 STOP = re.compile(r"(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])[.,](?=[ \n]|\Z)")
+SAMPLES = ("the of and", "étre eaux pouvoir straße ñandú", "onin therand eaquesh ungkeit")
 LINE = 64  # words encoded together
 
 
@@ -64,7 +74,7 @@ class ChunkIds:
     those of at most two tokens.  That changes times only.
     """
 
-    def __init__(self, path: str, most: int = 1_200_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 2_000_000, longest: int = 64):
         self.path, self.most, self.longest, self.ids = path, most, longest, Table({"": b""})
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -74,6 +84,11 @@ class ChunkIds:
         for w, i in vocab.items():
             self.ends[i] = bool(suffix) and w.endswith(suffix)
         self.lower = encode(path, ["AbÀ"]) == encode(path, ["abà"])
+        self.plain = load(path)
+        if self.ends.any():  # the same model without the steps that do nothing to plain words
+            short = load_spec(spec | {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}})
+            if all(short.encode(t, add_special_tokens=False).ids == self.plain.encode(t, add_special_tokens=False).ids for t in SAMPLES):
+                self.plain = short
 
     def _encode(self, chunks: list[str]) -> None:
         for i in range(0, len(chunks), 8192):
@@ -87,7 +102,7 @@ class ChunkIds:
         odd = list(new.difference(plain))
         for i in range(0, len(plain), 512 * LINE):
             some = plain[i : i + 512 * LINE]
-            rows = encode(self.path, [" ".join(some[j : j + LINE]) for j in range(0, len(some), LINE)])
+            rows = (e.ids for e in self.plain.encode_batch_fast([" ".join(some[j : j + LINE]) for j in range(0, len(some), LINE)], add_special_tokens=False))
             flat = np.fromiter(itertools.chain.from_iterable(rows), np.uint32)
             cuts = (np.flatnonzero(self.ends[flat]) + 1).tolist()
             if len(cuts) != len(some):  # not one end mark a word: no such tokenizer is known

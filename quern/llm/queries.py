@@ -60,8 +60,35 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.tiling import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quern.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_lm_scoring, op3_line_dedup, op6_token_counts, op7_ngram_join, op9_language_id, op10_packing]
+    found = [
+        op1_lm_scoring, op2_warc, op3_line_dedup, op4_ann, op5_decontamination, op6_token_counts, op7_ngram_join, op8_secret_scan,
+        op9_language_id, op10_packing,
+    ]
     return {f.__name__: _shipped(f) for f in found}
 
 

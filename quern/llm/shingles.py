@@ -13,39 +13,45 @@ import xxhash
 from quern.llm.common import MIX, mix
 
 N = 5
-_known: dict[str, int] = {}
-MOST = 400_000
+MOST = 600_000
 LONGEST = 64
+EDGES = ".,;:!?\"'()[]{}#*$%&|-+=<>/"
+
+
+class Hashes(dict):
+    """Hashes of runs; a run that is asked for first is hashed then."""
+
+    def __missing__(self, run: str) -> int:
+        h = hash_word(run)
+        if len(run) <= LONGEST:
+            self[run] = h
+        return h
+
+
+_known = Hashes()
 
 
 def normal(run: str) -> str:
-    return "".join(c for c in run.lower() if c.isalnum())
+    w = run.lower().strip(EDGES)
+    return w if w.isalnum() else "".join(c for c in w if c.isalnum())
 
 
 def hash_word(run: str) -> int:
-    w = run.lower()
-    if not w.isalnum():
-        w = normal(w)
+    w = normal(run)
     return xxhash.xxh3_64_intdigest(w) | 1 if w else 0
 
 
+def run_hashes(runs: list[str]) -> np.ndarray:
+    """The hash of each run, 0 where it is no word."""
+    if len(_known) > MOST:
+        _known.clear()
+    return np.fromiter(map(_known.__getitem__, runs), np.uint64, len(runs))
+
+
 def word_hashes(text: str) -> np.ndarray:
     """Hashes of the text's words in order."""
-    runs = text.split()
-    known = _known
-    if len(known) > MOST:
-        known.clear()
-    get = known.get
-    got = list(map(get, runs))
-    if None in got:
-        for i, h in enumerate(got):
-            if h is None:
-                r = runs[i]
-                h = got[i] = hash_word(r)
-                if len(r) <= LONGEST:
-                    known[r] = h
-    out = np.array(got, np.uint64)
-    return out[out > 0]
+    out = run_hashes(text.split())
+    return out[out > 0] if len(out) and not out.all() else out
 
 
 def shingles(words: np.ndarray, n: int = N) -> np.ndarray:

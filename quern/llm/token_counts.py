@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -78,17 +79,16 @@ def _undump(blob: bytes) -> Counter:
     return Counter(dict(zip(t["w"].to_pylist(), t["n"].to_pylist(), strict=True)))
 
 
-def frequent(docs: DataFrame, tokenizer: str, table: int) -> list[str]:
-    """The summary's chunks, most frequent first; at most `table` of them."""
+def frequent(docs: DataFrame, cut: Callable[[str], list[str]], table: int) -> Counter:
+    """Counts (less at most 1/(table+1) of all) of the most frequent of what `cut` makes of the texts; at most `table` of them."""
     one = pa.schema([("g", pa.int64()), ("s", pa.binary())])
 
     def summarise(batches):
-        special = [t.content for t in load(tokenizer).get_added_tokens_decoder().values()]
         total: Counter = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    total.update(w for w in chunks(t, special) if "\0" not in w)
+                    total.update(w for w in cut(t) if "\0" not in w)
                 if len(total) > 16 * table:
                     total = prune(Counter({w: n for w, n in total.items() if len(w) <= LONGEST}), 4 * table)
         total = prune(Counter({w: n for w, n in total.items() if len(w) <= LONGEST}), table)
@@ -115,7 +115,7 @@ def frequent(docs: DataFrame, tokenizer: str, table: int) -> list[str]:
     total = Counter()
     for (s,) in level.select("s").collect():  # one row of at most `table` entries
         total = _undump(bytes(s))
-    return sorted(total, key=lambda w: (-total[w], w))
+    return total
 
 
 def learn(tokenizer: str, new: set[str], known: dict[str, int]) -> None:
@@ -149,7 +149,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, table: int =
     library takes them by default.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    words = frequent(docs, tokenizer, table)
+    special = [t.content for t in load(tokenizer).get_added_tokens_decoder().values()]
+    counts = frequent(docs, lambda t: chunks(t, special), table)
+    words = sorted(counts, key=lambda w: (-counts[w], w))
     lengths = []
     for lo in range(0, len(words), 4096):
         lengths += [len(x) for x in encode(tokenizer, words[lo : lo + 4096])]
@@ -162,7 +164,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, table: int =
             _tables.clear()
             _tables[key] = dict(zip(unpack(names, np.uint8).tobytes().decode().split("\0"), n.tolist()))
         first, miss = _tables[key], _misses.setdefault(tokenizer, {})
-        special = [t.content for t in load(tokenizer).get_added_tokens_decoder().values()]
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             sizes, counts = [], []
