@@ -65,6 +65,11 @@ def prune(c: Counter, k: int) -> Counter:
     return Counter({w: n - cut for w, n in c.items() if n > cut})
 
 
+def fit(c: Counter) -> Counter:
+    """The entries that a table takes."""
+    return Counter({w: n for w, n in c.items() if len(w) <= LONGEST and "\0" not in w})
+
+
 def _dump(c: Counter) -> bytes:
     words = pa.array(list(c), pa.string())
     t = pa.table({"w": words, "n": pa.array(c.values(), pa.int64())})
@@ -88,10 +93,10 @@ def frequent(docs: DataFrame, cut: Callable[[str], list[str]], table: int) -> Co
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    total.update(w for w in cut(t) if "\0" not in w)
+                    total.update(cut(t))
                 if len(total) > 16 * table:
-                    total = prune(Counter({w: n for w, n in total.items() if len(w) <= LONGEST}), 4 * table)
-        total = prune(Counter({w: n for w, n in total.items() if len(w) <= LONGEST}), table)
+                    total = prune(fit(total), 4 * table)
+        total = prune(fit(total), table)
         if total:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([_dump(total)], pa.binary())], schema=one)
 
