@@ -59,7 +59,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quern_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what materialize() wrote, once nothing reads it any more."""
+    for df in frames:
+        path = df._quern_path
+        jvm = df.sparkSession.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _made.remove((df.sparkSession, path))
 
 
 def release(spark: SparkSession) -> None:
@@ -67,6 +79,7 @@ def release(spark: SparkSession) -> None:
     import gc
 
     gc.collect()
+    pa.default_memory_pool().release_unused()
     spark.sparkContext._jvm.System.gc()
 
 
