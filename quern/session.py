@@ -51,3 +51,14 @@ def ship(spark: SparkSession) -> None:
         for f in ROOT.rglob("*.py"):
             z.write(f, f.relative_to(parent))
     sc.addPyFile(path)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not at:
+        at = tempfile.mkdtemp(prefix="quern-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(at)
+    return at.rstrip("/")
