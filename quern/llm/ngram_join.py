@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import common as C
-from quern.llm.shingles import N, shingles, word_hashes
+from quern.llm.shingles import N, shingles, words_of
 
 THRESHOLD = 0.8
 RECALL = 0.9995
@@ -105,8 +105,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: floa
     def sign(batches):
         for batch in batches:
             keys, found = [], []
-            for t in batch.column(1).to_pylist():
-                s = shingles(word_hashes(t), n) if t else ()
+            for w in words_of(batch.column(1).to_pylist()):
+                s = shingles(w, n)
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 found.append(band_hashes(s, a, b, bands).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(found, pa.binary())], schema=signed)
@@ -128,7 +128,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: floa
             ids = batch.column(0)
             maybe = np.flatnonzero(C.may_hold(opened["f"], ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)))
             some = batch.take(pa.array(maybe))
-            got = [(i, s) for i, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True) if t and i is not None and len(s := shingles(word_hashes(t), n))]
+            got = [(i, s) for i, w in zip(some.column(0).to_pylist(), words_of(some.column(1).to_pylist()), strict=True) if i is not None and len(s := shingles(w, n))]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for _, s in got], pa.binary()), pa.array([C.pack_sorted(s) for _, s in got], pa.binary())], schema=sets)
 
     grams = docs.mapInArrow(collect, "node long, key binary, grams binary").join(inside, "node").join(classes, ["node", "key"]).dropDuplicates(["node", "key"])

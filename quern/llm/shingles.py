@@ -1,57 +1,95 @@
 """Words and word shingles as 64-bit hashes.
 
-A word is what letters and digits are left of a run of non-space characters, in
-lower case; runs without any are no words.  Runs are looked up in a bounded cache
-of the worker, so that only new ones are normalised and hashed.
+A word is what is left of a run between ASCII white space, in lower case, without ASCII
+characters other than letters and digits; where nothing is left there is no word.
+Hashes are polynomials over the UTF-8 bytes, taken from running sums for all words of
+many texts at once.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
 from quern.llm.common import MIX, mix
 
 N = 5
-MOST = 600_000
-LONGEST = 64
-EDGES = ".,;:!?\"'()[]{}#*$%&|-+=<>/"
-
-
-class Hashes(dict):
-    """Hashes of runs; a run that is asked for first is hashed then."""
-
-    def __missing__(self, run: str) -> int:
-        h = hash_word(run)
-        if len(run) <= LONGEST:
-            self[run] = h
-        return h
-
-
-_known = Hashes()
-
-
-def normal(run: str) -> str:
-    w = run.lower().strip(EDGES)
-    return w if w.isalnum() else "".join(c for c in w if c.isalnum())
-
-
-def hash_word(run: str) -> int:
-    w = normal(run)
-    return xxhash.xxh3_64_intdigest(w) | 1 if w else 0
-
-
-def run_hashes(runs: list[str]) -> np.ndarray:
-    """The hash of each run, 0 where it is no word."""
-    if len(_known) > MOST:
-        _known.clear()
-    return np.fromiter(map(_known.__getitem__, runs), np.uint64, len(runs))
+CHUNK = 1 << 20
+DROP, CHAR, SPACE, LINE = 0, 1, 2, 3
+_KIND = np.full(256, CHAR, np.uint8)
+_KIND[:128] = [CHAR if chr(i).isalnum() else LINE if i == 10 else SPACE if chr(i) in " \t\r\x0b\x0c" else DROP for i in range(128)]
+_VALUE = np.random.default_rng(20240301).integers(1, 1 << 63, 256, np.uint64)
+_INVERSE = np.uint64(pow(int(MIX), -1, 1 << 64))
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _grown(n: int) -> list[np.ndarray]:
+    """Powers of the multiplier and of its inverse, n at least."""
+    if len(_powers[0]) < n:
+        n = max(n, CHUNK + (CHUNK >> 2))
+        for i, x in enumerate((MIX, _INVERSE)):
+            p = np.full(n, x, np.uint64)
+            p[0] = 1
+            _powers[i] = np.cumprod(p, dtype=np.uint64)
+    return _powers
+
+
+def scan(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, line) of every word of the texts, lines numbered from 0 through all of them; each text begins a line."""
+    b = np.frombuffer("\n".join(texts).lower().encode(), np.uint8)
+    kind = _KIND[b]
+    keep = kind > DROP
+    b, kind = b[keep], kind[keep]
+    char = kind == CHAR
+    edge = np.diff(char.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    line = np.cumsum(kind == LINE)
+    if len(b) <= 4 * CHUNK:
+        up, down = _grown(len(b))
+        v = _VALUE[b] * up[: len(b)]
+        v *= char
+        s = np.cumsum(v, dtype=np.uint64)
+        h = (s[end - 1] - s[start] + v[start]) * down[start]
+    else:  # one very long text: in pieces that end between words
+        h = np.zeros(len(start), np.uint64)
+        up, down = _grown(CHUNK)
+        i = 0
+        while i < len(start):
+            lo = start[i]
+            j = max(i + 1, int(np.searchsorted(end, lo + CHUNK, "right")))
+            hi = end[j - 1]
+            up, down = _grown(hi - lo)
+            v = _VALUE[b[lo:hi]] * up[: hi - lo]
+            v *= char[lo:hi]
+            s = np.cumsum(v, dtype=np.uint64)
+            h[i:j] = (s[end[i:j] - lo - 1] - s[start[i:j] - lo] + v[start[i:j] - lo]) * down[start[i:j] - lo]
+            i = j
+    return mix(h) | np.uint64(1), line[start] if len(line) else np.zeros(0, np.int64)
+
+
+def parts(texts: list[str | None], most: int = CHUNK):
+    """(first, last) runs of texts of about `most` characters; a longer text is alone, and whole."""
+    lo, n = 0, 0
+    for i, t in enumerate(texts):
+        if n and n + len(t or "") > most:
+            yield lo, i
+            lo, n = i, 0
+        n += len(t or "")
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
+def words_of(texts: list[str | None]):
+    """Word hashes of each text in turn; none for null."""
+    for lo, hi in parts(texts):
+        some = [t or "" for t in texts[lo:hi]]
+        h, line = scan(some)
+        last = np.cumsum([t.count("\n") + 1 for t in some])
+        yield from np.split(h, np.searchsorted(line, last[:-1]))
 
 
 def word_hashes(text: str) -> np.ndarray:
     """Hashes of the text's words in order."""
-    out = run_hashes(text.split())
-    return out[out > 0] if len(out) and not out.all() else out
+    return scan([text])[0]
 
 
 def shingles(words: np.ndarray, n: int = N) -> np.ndarray:

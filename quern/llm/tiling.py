@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import common as C
-from quern.llm.shingles import word_hashes
+from quern.llm.shingles import word_hashes, words_of
 
 LEAST = 5
 THRESHOLD = 0.5
@@ -204,11 +204,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
             items = _open(shared, least)
             for b in batches:
                 cols: list[list] = [[] for _ in ARROW]
-                for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    if t:
-                        for i, share, n, matched in items.matches(word_hashes(t), threshold):
-                            for c, v in zip(cols, (d, items.ids[i], share, n, matched, len(items.words[i])), strict=True):
-                                c.append(v)
+                for d, w in zip(b.column(0).to_pylist(), words_of(b.column(1).to_pylist()), strict=True):
+                    for i, share, n, matched in items.matches(w, threshold):
+                        for c, v in zip(cols, (d, items.ids[i], share, n, matched, len(items.words[i])), strict=True):
+                            c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ARROW, strict=True)], schema=ARROW)
 
         found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(task, PAIRS)
@@ -225,7 +224,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, l
         def task(batches, shared=shared):
             items = _open(shared, least)
             for b in batches:
-                yield b.filter(pa.array([not (t and items.matches(word_hashes(t), threshold)) for t in b.column(place).to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([not items.matches(w, threshold) for w in words_of(b.column(place).to_pylist())], pa.bool_()))
 
         docs = docs.mapInArrow(task, schema)
     return docs
