@@ -28,7 +28,7 @@ class Graph:
     # structure
 
     def reverse(self) -> Graph:
-        return Graph(self.vertices, self.edges.withColumnsRenamed({"src": "dst", "dst": "src"}).select(*self.edges.columns))
+        return Graph(self.vertices, self.edges.select(*(F.col({"src": "dst", "dst": "src"}.get(c, c)).alias(c) for c in self.edges.columns)))
 
     def subgraph(self, vertex: Column | None = None, edge: Column | None = None) -> Graph:
         """The vertices that fit, and the edges that fit and join two of them."""

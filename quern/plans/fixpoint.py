@@ -107,6 +107,8 @@ def run(predicates: list[Predicate], most_iterations: int = MOST_ITERATIONS, sta
         rows = reduce(DataFrame.union, [f.toDF(*p.columns) for f in found])
         spark = spark or rows.sparkSession
         shared_dir(spark)
+        if not p.changes and p.value and rows.schema[p.value].dataType.typeName() in ("byte", "short", "integer"):
+            rows = rows.withColumn(p.value, F.col(p.value).cast("bigint"))  # sums of steps outgrow an int
         if p.changes:
             kinds = p.changes[0].schema
             rows = rows.select(*(F.col(c).cast(kinds[c].dataType).alias(c) for c in p.columns))
@@ -119,7 +121,6 @@ def run(predicates: list[Predicate], most_iterations: int = MOST_ITERATIONS, sta
             p.changes.append(first)
             delta[p.name] = first
     empty = {p.name: None for p in predicates}
-    waiting = [p for p in predicates if not p.changes]
     for _ in range(most_iterations):
         counts = {n: d.count() for n, d in delta.items()}
         stats.changed.append(counts)
@@ -141,7 +142,6 @@ def run(predicates: list[Predicate], most_iterations: int = MOST_ITERATIONS, sta
         delta = new
     else:
         raise Diverged(f"{', '.join(p.name for p in predicates)}: no fixpoint after {most_iterations} iterations")
-    del waiting
     return {p.name: p.known() for p in predicates if p.changes}
 
 
