@@ -72,7 +72,7 @@ class Graph:
     def join_vertices(self, other: DataFrame, value: str) -> Graph:
         """`value` of the vertices that `other` (id, value) has is replaced."""
         new = other.select("id", F.col(value).alias("__new"), F.lit(True).alias("__has"))
-        return Graph(self.vertices.join(new, "id", "left").withColumn(value, F.when("__has", F.col("__new")).otherwise(F.col(value))).drop("__new", "__has"), self.edges)
+        return Graph(self.vertices.join(new, "id", "left").withColumn(value, F.when(F.col("__has"), F.col("__new")).otherwise(F.col(value))).drop("__new", "__has"), self.edges)
 
     # neighbourhoods
 
