@@ -152,15 +152,20 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """
     spark = edges.sparkSession
     shared_dir(spark)
+
+    def least(pairs: DataFrame) -> DataFrame:
+        """Each node's least neighbour, dealt anew: the join on the node then has a shuffle of its own, which Spark may split."""
+        return pairs.groupBy("u").agg(F.min("v").alias("m")).repartition(partitions(spark))
+
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct().checkpoint()
     for _ in range(most_rounds):
         seen = e.select(F.col("u").alias("n"), F.lit(1).alias("low"), F.lit(0).alias("top")).union(e.select("v", F.lit(0), F.lit(1)))
         if seen.groupBy("n").agg(F.sum("low").alias("low"), F.max("top").alias("top")).where("low > 1 or low = 1 and top = 1").isEmpty():
             break  # every node has one edge, to a root: stars
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = least(both).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = least(large)
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         e = small.where("u > v").distinct().checkpoint()
     else:

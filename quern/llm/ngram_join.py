@@ -26,7 +26,7 @@ from quern.llm.shingles import N, shingles, words_of
 
 THRESHOLD = 0.8
 RECALL = 0.9995
-BLOCK = 512
+BLOCK = 256
 
 
 def choose_bands(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
@@ -185,6 +185,7 @@ def _ties(classes: DataFrame, bands: int) -> DataFrame:
 
     member = classes.mapInArrow(spread, "bucket long, node long")
     hub = member.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("bucket", "hub")
+    hub = hub.repartition(C.partitions(hub.sparkSession))  # the join then has a shuffle of its own, which Spark may split where a bucket is hot
     return member.join(hub, "bucket").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
 
 
