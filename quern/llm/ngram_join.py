@@ -34,8 +34,8 @@ def choose_bands(threshold: float, recall: float, most: int = 128) -> tuple[int,
     best = None
     for rows in range(1, most + 1):
         p = threshold**rows
-        bands = 1 if p >= recall else math.ceil(math.log(1 - recall) / math.log(1 - p))
-        if bands * rows <= most:
+        bands = 1 if p >= recall else math.ceil(math.log(1 - recall) / math.log1p(-p))
+        if bands * rows <= most and (best is None or rows > best[1]):
             best = bands, rows
     if best is None:
         raise ValueError("no band count reaches that recall; raise `most`")
