@@ -65,7 +65,7 @@ def clash(df):
 
 
 def test_lm_base_scores_and_normalisation(docs, texts):
-    got = suffix_tree.score(clash(docs), least=2, gain=0.0).collect()
+    got = suffix_tree.score(clash(docs), least=2, gain=0.0, symbol=0.0).collect()
     lower = lambda s: re.sub("[A-Z]", lambda m: m[0].lower(), s or "")
     tokens = lambda t: [*re.findall("[^\x20\x09-\x0d]+", lower(t)), None]
     counts = Counter(w for r in docs.collect() if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 10 for w in tokens(r.text))
@@ -83,7 +83,7 @@ def test_lm_base_scores_and_normalisation(docs, texts):
 def test_lm_tree_against_brute_force(spark):
     rows = [(i, "a b c d" if i % 3 else "a b d c") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in suffix_tree.score(docs, least=2, gain=0.5).collect()}
+    got = {r.doc_id: r for r in suffix_tree.score(docs, least=2, gain=0.5, symbol=0.2).collect()}
     train = [t.split() + [""] for i, t in rows if zlib.crc32(str(i).encode()) % 10]
     one, two, three = Counter(), Counter(), Counter()
     for t in train:
@@ -95,7 +95,10 @@ def test_lm_tree_against_brute_force(spark):
 
     def state(of, c, parent):
         """Listed symbols of a retained context and its weight, or nothing."""
+        of = {x: m for x, m in of.items() if m * math.log(m / c / parent(x)) >= 0.2}
         k = len(of)
+        if not k:
+            return None
         gain = sum(m * math.log(m / c / parent(x)) for x, m in of.items())
         rest, left = c - sum(of.values()), 1 - sum(parent(x) for x in of)
         gain += rest * math.log(rest / c / left) if rest > 0 and left > 0 else 0
