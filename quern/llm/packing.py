@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.pieces import ChunkIds
+from quern.llm.shingles import parts
 
 LENGTH = 4096
 WINDOW = 1 << 20
@@ -91,17 +92,18 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, win
     def task(batches):
         ids_of = _caches.setdefault(tokenizer, ChunkIds(tokenizer))
         base = TaskContext.get().partitionId() << 36
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], np.uint32)
         keys, held, n, used = [], [], 0, 0
 
         def flush():
             nonlocal keys, held, n, used
-            sizes = [len(b) // 4 for b in held]
+            sizes = [len(ids) for ids in held]
+            raw = [memoryview(ids.astype("<u4", copy=False)).cast("B") for ids in held]
             cols = [[] for _ in ARROW]
             out = assign(sizes, length, linear, quadratic)
             caps = capacities(n, length)
             for d, s, m, i, at in out:
-                row = (keys[d], s, m, zlib.crc32(memoryview(held[d])[4 * s : 4 * (s + m)]), sizes[d], base + used + i, at, caps[i])
+                row = (keys[d], s, m, zlib.crc32(raw[d][4 * s : 4 * (s + m)]), sizes[d], base + used + i, at, caps[i])
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
             used += len(caps)
@@ -110,12 +112,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, win
 
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 256):
-                part = [t or "" for t in texts[lo : lo + 256]]
-                for k, ids in zip(names[lo : lo + 256], ids_of(part), strict=True):
-                    held.append(ids + end)
+            for lo, hi in parts(texts, 1 << 22):
+                for k, ids in zip(names[lo:hi], ids_of([t or "" for t in texts[lo:hi]]), strict=True):
+                    held.append(np.concatenate([ids, end]))
                     keys.append(k)
-                    n += len(held[-1]) // 4
+                    n += len(held[-1])
                     if n >= window:
                         yield flush()
         if held:

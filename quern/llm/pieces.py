@@ -14,6 +14,9 @@ import re
 
 import numpy as np
 
+from quern.llm.common import ranges
+from quern.llm.shingles import parts, run_hashes
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _loaded: dict[str, object] = {}
 
@@ -47,35 +50,29 @@ def encode(path: str, texts: list[str]) -> list[list[int]]:
 PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 BEYOND = re.compile("[^\\x00-\\xff]")
 STOP = re.compile(r"(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])[.,](?=[ \n]|\Z)")
+#: A plain word, and punctuation after it, which is always a pre-token of its own (an apostrophe may not be).
+TAILED = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 SAMPLES = ("the of and", "étre eaux pouvoir straße ñandú", "onin therand eaquesh ungkeit")
 LINE = 64  # words encoded together
 
 
-class Table(dict):
-    """A dictionary that notes, in order, what it was asked for and lacks."""
-
-    def __init__(self, *a):
-        super().__init__(*a)
-        self.new: list[str] = []
-
-    def __missing__(self, key: str) -> None:
-        self.new.append(key)
-
-
 class ChunkIds:
-    """Ids of texts whose tokenizer drops white space and marks word ends, as bytes of little-endian uint32.
-
-    Spaces and line feeds are white space to every such tokenizer; no token, and no
-    special string, holds one, and no composed character spans one.  A stop between a
-    letter and white space is a word of its own, and texts of Latin-1 letters are looked
-    up in lower case if the tokenizer lowers them: both make for fewer distinct chunks.
-    New plain words are encoded many at a time and told apart by their end marks,
-    everything else chunk by chunk.  About `most` chunks are cached; a full cache keeps
+    """Ids of texts whose tokenizer drops white space and marks word ends, as arrays of uint32.
+
+    Texts are cut at spaces and line feeds, which are white space to every such tokenizer;
+    no token, and no special string, holds one, and no composed character spans one.  A
+    stop between a letter and white space is a chunk of its own, and texts of Latin-1
+    letters are looked up in lower case if the tokenizer lowers them: both make for fewer
+    distinct chunks.  Chunks are known by 64-bit hashes; a batch looks each distinct one
+    up once.  New plain words are encoded many at a time and told apart by their end
+    marks, all else chunk by chunk.  About `most` chunks are cached; a full cache keeps
     those of at most two tokens.  That changes times only.
     """
 
-    def __init__(self, path: str, most: int = 2_000_000, longest: int = 64):
-        self.path, self.most, self.longest, self.ids = path, most, longest, Table({"": b""})
+    def __init__(self, path: str, most: int = 1_500_000, chunk: int = 1 << 22):
+        self.path, self.most, self.chunk = path, most, chunk
+        self.place: dict[int, int] = {}
+        self.first, self.size, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -90,54 +87,87 @@ class ChunkIds:
             if all(short.encode(t, add_special_tokens=False).ids == self.plain.encode(t, add_special_tokens=False).ids for t in SAMPLES):
                 self.plain = short
 
-    def _encode(self, chunks: list[str]) -> None:
-        for i in range(0, len(chunks), 8192):
-            part = chunks[i : i + 8192]
-            for w, ids in zip(part, encode(self.path, part), strict=True):
-                self.ids[w] = np.array(ids, "<u4").tobytes()
-
-    def _learn(self, new: set[str]) -> None:
-        known = self.ids
-        plain = [w for w in new if PLAIN.fullmatch(w)] if self.ends.any() else []
-        odd = list(new.difference(plain))
-        for i in range(0, len(plain), 512 * LINE):
-            some = plain[i : i + 512 * LINE]
-            rows = (e.ids for e in self.plain.encode_batch_fast([" ".join(some[j : j + LINE]) for j in range(0, len(some), LINE)], add_special_tokens=False))
-            flat = np.fromiter(itertools.chain.from_iterable(rows), np.uint32)
-            cuts = (np.flatnonzero(self.ends[flat]) + 1).tolist()
-            if len(cuts) != len(some):  # not one end mark a word: no such tokenizer is known
-                odd += some
-                continue
-            raw, at = flat.astype("<u4").tobytes(), 0
-            for w, end in zip(some, cuts, strict=True):
-                known[w] = raw[4 * at : 4 * end]
-                at = end
-        self._encode(odd)
-
-    def _cut(self, t: str) -> list[str]:
-        if self.lower and (t.isascii() or not BEYOND.search(t)):
-            t = t.lower()
-        return STOP.sub(r" \g<0>", t).replace("\n", " ").split(" ")
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.ids) > self.most:
-            few = {w: b for w, b in self.ids.items() if len(b) <= 8}
-            self.ids = Table(few if len(few) <= self.most // 2 else {"": b""})
-        known = self.ids
-        get = known.__getitem__
-        out, late = [], []
-        for k, t in enumerate(texts):
-            ids = list(map(get, self._cut(t)))
-            if known.new:
-                late.append((k, known.new))
-                known.new = []
-            out.append(ids)
-        new = {w for _, words in late for w in words}
-        self._learn(new)
-        for k, words in late:
-            rest = map(get, words)
-            out[k] = [next(rest) if i is None else i for i in out[k]]
-        for w in new:
-            if len(w) > self.longest:
-                del known[w]
-        return [b"".join(ids) for ids in out]
+    def _add(self, keys: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.place)
+        while n + len(keys) > len(self.first):
+            self.first, self.size = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.first[n : n + len(keys)] = self.used + np.cumsum(sizes) - sizes
+        self.size[n : n + len(keys)] = sizes
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.place.update(zip(keys, range(n, n + len(keys)), strict=True))
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, sizes) of plain words, encoded together; nothing if they can't be told apart."""
+        lines = [" ".join(words[j : j + LINE]) for j in range(0, len(words), LINE)]
+        rows = (e.ids for lo in range(0, len(lines), 512) for e in self.plain.encode_batch_fast(lines[lo : lo + 512], add_special_tokens=False))
+        flat = np.fromiter(itertools.chain.from_iterable(rows), np.uint32)
+        cuts = np.flatnonzero(self.ends[flat]) + 1
+        return (flat, np.diff(cuts, prepend=0)) if len(cuts) == len(words) else None
+
+    def _learn(self, keys: list[int], chunks: list[str]) -> None:
+        """Cut the new chunks in a plain word and its tail, or take them whole; encode each different part once."""
+        cut = [m.groups() if (m := TAILED.fullmatch(w)) else ("", w) for w in chunks] if self.ends.any() else [("", w) for w in chunks]
+        words = list({c[0] for c in cut if c[0]})
+        ids = self._plain(words)
+        if ids is None:
+            cut, words, ids = [("", w) for w in chunks], [], (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        others = ["", *{c[1] for c in cut if c[1]}]
+        rows = [r for lo in range(0, len(others), 8192) for r in encode(self.path, others[lo : lo + 8192])]
+        flat = np.concatenate([ids[0], np.fromiter(itertools.chain.from_iterable(rows), np.uint32)])
+        sizes = np.concatenate([ids[1], np.fromiter(map(len, rows), np.int64, len(rows))])
+        first = np.cumsum(sizes) - sizes
+        at = {w: i for i, w in enumerate(words)} | {"": len(words)}
+        tail = {w: i for i, w in enumerate(others, len(words))}
+        pair = np.array([x for a, b in cut for x in (at[a], tail[b])], np.int64)
+        self._add(keys, flat[ranges(first[pair], sizes[pair])], sizes[pair].reshape(-1, 2).sum(axis=1))
+
+    def _shrink(self) -> None:
+        """Keep the chunks of at most two tokens, or none if those are too many."""
+        old = [(k, i) for k, i in self.place.items() if self.size[i] <= 2]
+        first, size, flat = self.first, self.size, self.flat
+        self.place, self.used = {}, 0
+        self.first, self.size, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+        if len(old) <= self.most // 2:
+            at = np.array([i for _, i in old], np.int64)
+            self._add([k for k, _ in old], flat[ranges(first[at], size[at])], size[at])
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for lo, hi in parts(texts, self.chunk):
+            if len(self.place) > self.most:
+                self._shrink()
+            raw = [(t.lower() if self.lower and (t.isascii() or not BEYOND.search(t)) else t).encode() for t in texts[lo:hi]]
+            whole = b"\n".join([*raw, b""])
+            start, end = chunk_places(np.frombuffer(whole, np.uint8))
+            q, first, back = np.unique(run_hashes(np.frombuffer(whole, np.uint8), start, end), return_index=True, return_inverse=True)
+            keys = q.tolist()
+            place = list(map(self.place.get, keys))
+            if None in place:
+                new = [i for i, p in enumerate(place) if p is None]
+                self._learn([keys[i] for i in new], [whole[a:b].decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)])
+                place = list(map(self.place.__getitem__, keys))
+            at = np.array(place, np.int64)[back]
+            sizes = self.size[at]
+            ids = self.flat[ranges(self.first[at], sizes)]
+            ends = np.cumsum([len(r) + 1 for r in raw])
+            tokens = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(start, ends)]
+            out += np.split(ids, tokens[:-1])
+        return out
+
+
+def chunk_places(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs between spaces and line feeds, a stop between a letter and white space (or the end) apart."""
+    space = (b == 32) | (b == 10)
+    edge = np.diff(space.astype(np.int8), prepend=np.int8(1), append=np.int8(1))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    last = end - 1  # a stop before white space ends its run
+    stop = ((b[last] == 46) | (b[last] == 44)) & (last > start)
+    p = last[stop]
+    before, lead = b[p - 1], b[np.maximum(p - 2, 0)]
+    letter = ((before | 32) >= 97) & ((before | 32) <= 122) | (lead == 0xC3) & (before >= 0x80) & (before < 0xC0) & (before != 0x97) & (before != 0xB7)
+    i = np.flatnonzero(stop)[letter]
+    p = p[letter]
+    return np.insert(start, i + 1, p), np.insert(end, i, p)

@@ -72,32 +72,34 @@ _SPACES = np.zeros(256, bool)
 _SPACES[[32, *range(9, 14)]] = True
 
 
-def byte_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words of the texts in order, words of each text).
-
-    Here a word is a run of bytes other than 0x20 and 0x09-0x0D, with A-Z in lower case.
-    No hash is 0.
-    """
-    b = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    char = ~_SPACES[b]
-    edge = np.diff(char.astype(np.int8), prepend=np.int8(0))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    ends = np.cumsum([len(t) + 1 for t in texts])
+def run_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray, value: np.ndarray = _VALUE) -> np.ndarray:
+    """Hashes (none 0) of the byte runs [start, end), which are in order and apart."""
     h = np.zeros(len(start), np.uint64)
     i = 0
-    while i < len(start):  # pieces that end between words
+    while i < len(start):  # pieces that end between runs
         lo = start[i]
         j = max(i + 1, int(np.searchsorted(end, lo + 4 * CHUNK, "right")))
         hi = end[j - 1]
         up, down = _grown(hi - lo)
-        v = _LOWER[b[lo:hi]] * up[: hi - lo]
-        v *= char[lo:hi]
-        s = np.cumsum(v, dtype=np.uint64)
-        h[i:j] = (s[end[i:j] - lo - 1] - s[start[i:j] - lo] + v[start[i:j] - lo]) * down[start[i:j] - lo]
+        s = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(value[b[lo:hi]] * up[: hi - lo], dtype=np.uint64, out=s[1:])
+        h[i:j] = (s[end[i:j] - lo] - s[start[i:j] - lo]) * down[start[i:j] - lo]
         i = j
     h = mix(h)
     h[h == 0] = 1
-    return h, np.diff(np.searchsorted(start, ends), prepend=0)
+    return h
+
+
+def byte_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words of the texts in order, words of each text).
+
+    Here a word is a run of bytes other than 0x20 and 0x09-0x0D, with A-Z in lower case.
+    """
+    b = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    edge = np.diff((~_SPACES[b]).astype(np.int8), prepend=np.int8(0))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return run_hashes(b, start, end, _LOWER), np.diff(np.searchsorted(start, ends), prepend=0)
 
 
 def parts(texts: list[str | None], most: int = CHUNK):
