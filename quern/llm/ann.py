@@ -145,10 +145,11 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, lists: int | None
     index = C.materialize(v.mapInArrow(lambda b: place(b, False), sql).dropDuplicates(["vec_id", "x"]), "index")
     queries = v.where(F.col("vec_id") % every == 0).mapInArrow(lambda b: place(b, True), sql).withColumnRenamed("vec_id", "query_id")
     queries = C.materialize(queries, "queries")
+    # a row a list, of which there are at most LISTS unless the caller asks for more
     cut = index.groupBy("list").agg(F.ceil(F.count("*") / rows).cast("int").alias("nv")).join(queries.groupBy("list").agg(F.ceil(F.count("*") / asked).cast("int").alias("nq")), "list")
 
     def dealt(df: DataFrame, key: str, kind: int, own: str, other: str) -> DataFrame:
-        df = df.join(cut, "list").withColumn("mine", F.pmod(F.xxhash64(key), F.col(own)).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        df = df.join(F.broadcast(cut), "list").withColumn("mine", F.pmod(F.xxhash64(key), F.col(own)).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
         a, b = ("mine", "to") if kind == 0 else ("to", "mine")
         return df.select("list", F.col(a).alias("vb"), F.col(b).alias("qb"), F.lit(kind).alias("kind"), F.col(key).alias("id"), "unit", "x")
 
