@@ -57,6 +57,32 @@ class Graph:
             e = e.join(v.select(F.col("id").alias(end), F.col("attr").alias(f"{end}_attr")), end)
         return e
 
+    def map_triplets(self, **columns: Column) -> Graph:
+        """Edge columns computed from the edge and its ends (src_attr, dst_attr)."""
+        e = self.triplets().withColumns(columns)
+        return Graph(self.vertices, e.select(*self.edges.columns, *(c for c in columns if c not in self.edges.columns)))
+
+    def filter(self, make: Callable[[Graph], Graph], vertex: Column | None = None, edge: Column | None = None) -> Graph:
+        """This graph restricted to what passes the tests in a graph computed from it."""
+        return self.mask(make(self).subgraph(vertex, edge))
+
+    def edges_of(self, direction: str = "either") -> DataFrame:
+        """(id, edges): the edges at each vertex, as an array of structs in order."""
+        one = F.struct(*self.edges.columns).alias("e")
+        out, into = self.edges.select(F.col("src").alias("id"), one), self.edges.select(F.col("dst").alias("id"), one)
+        every = {"out": out, "in": into, "either": out.union(into)}[direction]
+        return every.groupBy("id").agg(F.sort_array(F.collect_list("e")).alias("edges"))
+
+    def dealt(self, strategy: str = "canonical", parts: int | None = None) -> Graph:
+        """The edges repartitioned: by source (1d), by both ends (random), by both ends in either direction (canonical), or in a grid of blocks (2d)."""
+        n = parts or int(self.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        side = max(1, int(n**0.5))
+        keys = {
+            "1d": [F.col("src")], "random": [F.col("src"), F.col("dst")], "canonical": [F.least("src", "dst"), F.greatest("src", "dst")],
+            "2d": [F.pmod(F.xxhash64("src"), F.lit(side)), F.pmod(F.xxhash64("dst"), F.lit(side))],
+        }[strategy]
+        return Graph(self.vertices, self.edges.repartition(n, *keys))
+
     def group_edges(self, **merged: Column) -> Graph:
         """Parallel edges as one."""
         return Graph(self.vertices, self.edges.groupBy("src", "dst").agg(*(c.alias(n) for n, c in merged.items())) if merged else self.edges.select("src", "dst").distinct())
@@ -232,6 +258,23 @@ def vertex_diff(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     return b.join(a.select("id", F.col(value).alias("__a")), "id").where(~F.col("__a").eqNullSafe(F.col(value))).drop("__a")
 
 
+def vertex_left_join(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.join(b, "id", "left")
+
+
+def vertex_inner_join(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.join(b, "id")
+
+
+def aggregate_using_index(vertices: DataFrame, messages: DataFrame, value: Column) -> DataFrame:
+    """Messages (id, ...) to the given vertices alone, merged to (id, value)."""
+    return messages.join(vertices.select("id"), "id", "left_semi").groupBy("id").agg(value.alias("value"))
+
+
+def edge_inner_join(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.join(b, ["src", "dst"])
+
+
 def star(spark, n: int) -> DataFrame:
     """Edges from 1..n-1 to 0."""
     return spark.range(1, n).select(F.col("id").alias("src"), F.lit(0).cast("bigint").alias("dst"))

@@ -164,3 +164,77 @@ def ml_statistics(t: Tables) -> DataFrame:
     ks = stat.KolmogorovSmirnovTest.test(df, "l_quantity", "norm", 25.0, 15.0).select(F.array("pValue").alias("values"))
     both = stat.Correlation.corr(df, "features").select(F.array(F.lit(1.0)).alias("values"))
     return chi.withColumn("test", F.lit("chi")).union(ks.withColumn("test", F.lit("ks"))).union(both.withColumn("test", F.lit("corr")))
+
+
+@ml
+def ml_association_rules(t: Tables) -> DataFrame:
+    baskets = t("lineitem").groupBy("l_orderkey").agg(F.collect_set("l_linenumber").alias("items"))
+    return fpm.FPGrowth(minSupport=0.2, minConfidence=0.5).fit(baskets).associationRules.select(F.concat_ws(",", F.sort_array("antecedent")).alias("given"), F.concat_ws(",", "consequent").alias("then"), "confidence")
+
+
+@ml
+def ml_ranking_metrics(t: Tables) -> DataFrame:
+    rows = t("orders").groupBy("o_custkey").agg(F.sort_array(F.collect_set(F.col("o_orderkey").cast("double"))).alias("label"), F.sort_array(F.collect_set(F.col("o_orderkey").cast("double")), asc=False).alias("prediction"))
+    return rows.sparkSession.createDataFrame([("map", float(ev.RankingEvaluator().evaluate(rows)))], "metric string, value double")
+
+
+@ml
+def ml_multilabel_metrics(t: Tables) -> DataFrame:
+    rows = t("lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_linenumber").cast("double")).alias("label"), F.collect_set(F.least(F.col("l_linenumber"), F.lit(5)).cast("double")).alias("prediction"))
+    return rows.sparkSession.createDataFrame([("f1", float(ev.MultilabelClassificationEvaluator().evaluate(rows)))], "metric string, value double")
+
+
+@ml
+def ml_matrices(t: Tables) -> DataFrame:
+    """A coordinate matrix as blocks, times its transpose, as indexed rows."""
+    from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
+
+    entries = t("nation").select("n_nationkey", "n_regionkey").rdd.map(lambda r: MatrixEntry(r[0], r[1], 1.0))
+    a = CoordinateMatrix(entries).toBlockMatrix(8, 8)
+    product = a.transpose().multiply(a).toIndexedRowMatrix()
+    return product.rows.map(lambda r: (int(r.index), float(r.vector.toArray().sum()))).toDF("row long, sum double")
+
+
+@ml
+def ml_kernel_density(t: Tables) -> DataFrame:
+    from pyspark.mllib.stat import KernelDensity
+
+    k = KernelDensity()
+    k.setBandwidth(500.0)
+    k.setSample(t("customer").select(F.col("c_acctbal").cast("double")).rdd.map(lambda r: r[0]))
+    return t("customer").sparkSession.createDataFrame([(float(x), float(y)) for x, y in zip((0.0, 5000.0), k.estimate([0.0, 5000.0]))], "at double, density double")
+
+
+@ml
+def ml_streaming_kmeans(t: Tables) -> DataFrame:
+    """Batches of points update the centres in turn."""
+    from pyspark.mllib.clustering import StreamingKMeansModel
+    from pyspark.mllib.linalg import Vectors
+
+    model = StreamingKMeansModel([[10.0], [40.0]], [1.0, 1.0])
+    for number in (1, 2, 3):
+        batch = t("lineitem").where(F.col("l_linenumber") == number).select("l_quantity").rdd.map(lambda r: Vectors.dense(r[0]))
+        model = model.update(batch, 0.5, "batches")
+    return t("lineitem").sparkSession.createDataFrame([(float(c[0]),) for c in model.centers], "centre double")
+
+
+@ml
+def ml_sliding(t: Tables) -> DataFrame:
+    """Sliding windows of three over an order, as a moving mean."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey").rowsBetween(0, 2)
+    return t("lineitem").select("l_orderkey", F.round(F.avg("l_quantity").over(w), 4).alias("mean"))
+
+
+@ml
+def ml_libsvm(t: Tables) -> DataFrame:
+    """Labelled points written and read in the LibSVM format."""
+    import uuid
+
+    from quern.session import shared_dir
+
+    df = points(t).select("label", "features")
+    path = f"{shared_dir(df.sparkSession)}/libsvm-{uuid.uuid4().hex}"
+    df.write.format("libsvm").save(path)
+    return counted(df.sparkSession.read.format("libsvm").option("numFeatures", 3).load(path), "label")

@@ -414,6 +414,13 @@ def udaf_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(spread("c_acctbal").alias("spread"))
 
 
+add("script_transform", "SELECT TRANSFORM (n_name) USING 'cat' AS (name STRING) FROM nation", "SELECT n_name AS name FROM nation")
+add("source_whole_text", lambda s, d: (lambda p: (table(s, d, "nation").select(F.col("n_name").alias("value")).coalesce(1).write.text(p), s.read.text(p, wholetext=True).select(F.size(F.split(F.trim("value"), "\\s+")).alias("n")))[1])(f"{shared_dir(s)}/whole-{uuid.uuid4().hex}"), "SELECT CAST(count(*) AS INTEGER) AS n FROM nation")
+add("source_binary_files", lambda s, d: (lambda p: (table(s, d, "region").select(F.col("r_name").alias("value")).coalesce(1).write.text(p), s.read.format("binaryFile").option("pathGlobFilter", "part-*").load(p).select((F.length("content") == F.col("length")).alias("same")))[1])(f"{shared_dir(s)}/binary-{uuid.uuid4().hex}"), "SELECT true AS same")
+add("graph_partition_2d", graph(lambda g: g.dealt("2d").edges), FOLLOWS)
+add("graph_map_triplets", graph(lambda g: g.map_vertices(w=F.col("id") % 7).map_triplets(cost=F.col("src_attr.w") + F.col("dst_attr.w")).edges), f"SELECT src, dst, src % 7 + dst % 7 AS cost FROM ({FOLLOWS}) f")
+add("graph_subgraph", graph(lambda g: g.subgraph(edge=F.col("cost") < 10).edges), f"SELECT src, dst, cost FROM ({FOLLOWS}) f WHERE cost < 10")
+add("graph_neighbour_ids", graph(lambda g: g.neighbour_ids("out").select("id", F.concat_ws(",", "neighbours").alias("to"))), f"SELECT src AS id, string_agg(dst, ',' ORDER BY dst) AS to FROM ({FOLLOWS}) f GROUP BY src".replace(" AS to ", ' AS "to" '))
 add("rdd_zip_with_index", lambda s, d: table(s, d, "nation").select("n_nationkey").orderBy("n_nationkey").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF("k int, i long"), "SELECT n_nationkey AS k, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation")
 add("rdd_histogram", lambda s, d: histogram(table(s, d, "lineitem"), "l_quantity", [0.0, 10.0, 20.0, 30.0, 40.0, 50.0]),
     "SELECT CAST(least(4, floor(l_quantity / 10)) AS INTEGER) AS bucket, count(*) AS count FROM lineitem GROUP BY 1")

@@ -44,6 +44,28 @@ def test_streams(spark, tmp_path):
     assert sum(seen) == 3  # what was handled isn't handled again
 
 
+def test_jdbc_and_tables(spark):
+    url = "jdbc:derby:memory:quern;create=true"
+    df = spark.createDataFrame([(i, f"n{i}") for i in range(20)], "k int, s string")
+    df.write.jdbc(url, "t", mode="overwrite", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    how = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    assert files.jdbc(spark, url, "t", **how).count() == 20
+    ranged = files.jdbc(spark, url, "t", column="k", low=0, high=20, parts=4, **how)
+    assert ranged.rdd.getNumPartitions() == 4 and ranged.count() == 20
+    assert files.jdbc(spark, url, "t", predicates=["k < 5", "k >= 15"], **how).count() == 10
+
+
+def test_saved_tables(spark, tmp_path):
+    spark.sql(f"CREATE TABLE saved (k INT, s STRING) USING parquet LOCATION '{tmp_path}/saved'")
+    try:
+        spark.createDataFrame([(1, "a")], "k int, s string").write.insertInto("saved")
+        spark.sql("INSERT INTO saved SELECT 2, 'b'")
+        spark.sql("ANALYZE TABLE saved COMPUTE STATISTICS")
+        assert spark.table("saved").count() == 2 and spark.sql("DESCRIBE EXTENDED saved").count() > 2
+    finally:
+        spark.sql("DROP TABLE saved")
+
+
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "g.txt").write_text("1\t2\n2\t3\n3\t1\n")
     for q, n in (("sssp", "3 rows"), ("reach", "3 rows"), ("cc", "1 rows"), ("SELECT * FROM edge", "3 rows")):
