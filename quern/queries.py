@@ -415,7 +415,7 @@ def udaf_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("script_transform", "SELECT TRANSFORM (n_name) USING 'cat' AS (name STRING) FROM nation", "SELECT n_name AS name FROM nation")
-add("source_whole_text", lambda s, d: (lambda p: (table(s, d, "nation").select(F.col("n_name").alias("value")).coalesce(1).write.text(p), s.read.text(p, wholetext=True).select(F.size(F.split(F.trim("value"), "\\s+")).alias("n")))[1])(f"{shared_dir(s)}/whole-{uuid.uuid4().hex}"), "SELECT CAST(count(*) AS INTEGER) AS n FROM nation")
+add("source_whole_text", lambda s, d: (lambda p: (table(s, d, "nation").select(F.col("n_name").alias("value")).coalesce(1).write.text(p), s.read.text(p, wholetext=True).select(F.size(F.regexp_extract_all("value", F.lit(r"\S+"), F.lit(0))).alias("n")))[1])(f"{shared_dir(s)}/whole-{uuid.uuid4().hex}"), "SELECT CAST(count(*) AS INTEGER) AS n FROM nation")
 add("source_binary_files", lambda s, d: (lambda p: (table(s, d, "region").select(F.col("r_name").alias("value")).coalesce(1).write.text(p), s.read.format("binaryFile").option("pathGlobFilter", "part-*").load(p).select((F.length("content") == F.col("length")).alias("same")))[1])(f"{shared_dir(s)}/binary-{uuid.uuid4().hex}"), "SELECT true AS same")
 add("graph_partition_2d", graph(lambda g: g.dealt("2d").edges), FOLLOWS)
 add("graph_map_triplets", graph(lambda g: g.map_vertices(w=F.col("id") % 7).map_triplets(cost=F.col("src_attr.w") + F.col("dst_attr.w")).edges), f"SELECT src, dst, src % 7 + dst % 7 AS cost FROM ({FOLLOWS}) f")
