@@ -49,7 +49,6 @@ def encode(path: str, texts: list[str]) -> list[list[int]]:
 #: Letters whose case and class every library agrees on, and punctuation that stands alone after one.
 PLAIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 BEYOND = re.compile("[^\\x00-\\xff]")
-STOP = re.compile(r"(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])[.,](?=[ \n]|\Z)")
 #: A plain word, and punctuation after it, which is always a pre-token of its own (an apostrophe may not be).
 TAILED = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 SAMPLES = ("the of and", "étre eaux pouvoir straße ñandú", "onin therand eaquesh ungkeit")

@@ -27,13 +27,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.token_counts import frequent
+from quern.llm.token_counts import frequent, summary
 
 MOST_LABELLED = 20_000
 MADE = 3000
 WORDS = 8192
 TREES, DEPTH = 40, 8
-CANDIDATE = re.compile(r"[A-Za-z0-9_+/=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9_+/-]{16,}={0,2}")
 FOUND = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("candidate", pa.string()), ("features", pa.list_(pa.float64()))])
 FOUND_SQL = "doc_id long, start long, length int, candidate string, features array<double>"
 #: Words that come before secrets, and before what looks like them.
@@ -158,7 +158,7 @@ def scan(docs: DataFrame, labelled: list[tuple[str, int, int, str, int]] | None
     spark = docs.sparkSession
     path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), path.alias("path"))
-    counts = dict(frequent(docs, words_of, WORDS))
+    counts = dict(frequent(docs, lambda texts, k: summary(texts, words_of, k), WORDS))
     model = fit(spark, Language(counts), labelled or made_findings())
     shared = spark.sparkContext.broadcast(counts)
     opened: dict = {}

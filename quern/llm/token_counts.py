@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import pack, unpack
-from quern.llm.pieces import LINE, PLAIN, STOP, encode, load
+from quern.llm.common import MIX, mix, pack, unpack
+from quern.llm.pieces import LINE, PLAIN, chunk_places, encode, load
+from quern.llm.shingles import parts, run_hashes
 
 TABLE = 32_768
 CACHE = 1_200_000
@@ -38,23 +39,69 @@ _NOT = r"[^\s\x1c-\x1f\x85\u180e\u200b-\u200f\ufeff]"
 CUT = re.compile(f"(?<={_NOT}) (?={_NOT})")
 #: White space other than single spaces and line feeds, what a library might take for it, and the mark used below.
 ODD = re.compile(r"[^\S \n]|[\x00\x1c-\x1f\x85\u180e\u200b-\u200f\ufeff]")
-_tables: dict[str, dict] = {}
-_misses: dict[str, dict] = {}
+SPACE = re.compile(r"\s")
+CHUNK = 1 << 22
+_tables: dict[str, tuple[dict, dict]] = {}
+_misses: dict[str, tuple[dict, dict]] = {}
+
+
+def simple(text: str, special: list[str]) -> bool:
+    """Whether the text's white space is single spaces and line feeds between other characters, and it holds no special string."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n"):
+        return False
+    return not ODD.search(text) and not any(s in text for s in special)
 
 
 def chunks(text: str, special: list[str]) -> list[str]:
-    """The text in pieces that are tokenized alike alone and together.
+    """A text that isn't simple in pieces that are tokenized alike alone and together.
 
-    Each piece but the first begins with the single space that its pre-token takes
-    along; a single line feed is a piece.  Texts with other white space are cut only
-    at single spaces, and those with a special string not at all.
+    It is cut at single spaces, which each following piece's pre-token takes along; with
+    a special string, not at all.
     """
     if any(s in text for s in special):
         return [text]
-    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n") or ODD.search(text):
-        first, *rest = CUT.split(text)
-        return [first, *[" " + w for w in rest]]
-    return STOP.sub("\0\\g<0>", text).replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+    first, *rest = CUT.split(text)
+    return [first, *[" " + w for w in rest]]
+
+
+class Runs:
+    """The chunks of simple texts, by 64-bit hash: runs between white space, with the space before them, and stops between letters and white space.
+
+    Line feeds are chunks too, which `feeds` counts by text.
+    """
+
+    def __init__(self, texts: list[str]):
+        raw = [t.encode() for t in texts]
+        self.whole = b"\n".join([*raw, b""])
+        b = np.frombuffer(self.whole, np.uint8)
+        self.start, self.end = chunk_places(b)
+        self.spaced = (self.start > 0) & (b[np.maximum(self.start - 1, 0)] == 32)
+        h = run_hashes(b, self.start, self.end)
+        h[self.spaced] = mix(h[self.spaced] ^ MIX)
+        self.keys, self.first, self.back, self.counts = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        self.bytes = [len(r) for r in raw]
+        self.feeds = np.array([t.count("\n") for t in texts])
+        self.cut = np.searchsorted(self.start, np.cumsum([n + 1 for n in self.bytes]))
+
+    def string(self, i: int) -> str:
+        """The chunk of the i-th distinct key."""
+        j = self.first[i]
+        return (" " if self.spaced[j] else "") + self.whole[self.start[j] : self.end[j]].decode()
+
+    def totals(self, values: np.ndarray) -> np.ndarray:
+        """Sums by text of a value for each distinct key."""
+        return np.diff(np.concatenate([[0], np.cumsum(values[self.back])])[self.cut], prepend=0)
+
+
+def key_of(chunks: list[str]) -> list[int]:
+    """The keys of chunks that hold no white space but a space before them."""
+    raw = [c.removeprefix(" ").encode() for c in chunks]
+    sizes = np.array([len(r) for r in raw], np.int64)
+    start = np.cumsum(sizes) - sizes
+    h = run_hashes(np.frombuffer(b"".join(raw), np.uint8), start, start + sizes)
+    spaced = np.array([c[:1] == " " for c in chunks], bool)
+    h[spaced] = mix(h[spaced] ^ MIX)
+    return h.tolist()
 
 
 def prune(c: Counter, k: int) -> Counter:
@@ -84,19 +131,59 @@ def _undump(blob: bytes) -> Counter:
     return Counter(dict(zip(t["w"].to_pylist(), t["n"].to_pylist(), strict=True)))
 
 
-def frequent(docs: DataFrame, cut: Callable[[str], list[str]], table: int) -> Counter:
-    """Counts (less at most 1/(table+1) of all) of the most frequent of what `cut` makes of the texts; at most `table` of them."""
+def summary(texts, cut: Callable[[str], list[str]], table: int) -> Counter:
+    """A Misra-Gries summary of what `cut` makes of the texts."""
+    total: Counter = Counter()
+    for t in texts:
+        if t:
+            total.update(cut(t))
+        if len(total) > 16 * table:
+            total = prune(fit(total), 4 * table)
+    return prune(fit(total), table)
+
+
+def chunk_summary(texts, special: list[str], table: int) -> Counter:
+    """A Misra-Gries summary of the texts' chunks; those of simple texts are counted by their hashes."""
+    k, n, names, odd = np.zeros(0, np.uint64), np.zeros(0, np.int64), {}, Counter()
+    held, size = [], 0
+
+    def add():
+        nonlocal k, n, names
+        r = Runs(held)
+        both = np.concatenate([k, r.keys])
+        u, back = np.unique(both, return_inverse=True)
+        c = np.bincount(back, np.concatenate([n, r.counts]), len(u)).astype(np.int64)
+        if len(u) > 4 * table:
+            least = np.partition(c, -4 * table - 1)[-4 * table - 1]
+            u, c = u[c > least], c[c > least] - least
+        at = np.minimum(np.searchsorted(r.keys, u), max(len(r.keys) - 1, 0))
+        names = {x: names.get(x) or r.string(i) for x, i in zip(u.tolist(), at.tolist(), strict=True)}
+        k, n = u, c
+
+    for t in texts:
+        if not t:
+            continue
+        if simple(t, special):
+            held.append(t)
+            size += len(t)
+            if size >= CHUNK:
+                add()
+                held, size = [], 0
+        else:
+            odd.update(chunks(t, special))
+            if len(odd) > 16 * table:
+                odd = prune(fit(odd), 4 * table)
+    if held:
+        add()
+    return prune(fit(odd + Counter({names[x]: m for x, m in zip(k.tolist(), n.tolist(), strict=True)})), table)
+
+
+def frequent(docs: DataFrame, summarised: Callable[[Iterator[str], int], Counter], table: int) -> Counter:
+    """Counts (less at most 1/(table+1) of all) of the most frequent entries of the texts' summaries; at most `table` of them."""
     one = pa.schema([("g", pa.int64()), ("s", pa.binary())])
 
     def summarise(batches):
-        total: Counter = Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                if t:
-                    total.update(cut(t))
-                if len(total) > 16 * table:
-                    total = prune(fit(total), 4 * table)
-        total = prune(fit(total), table)
+        total = summarised((t for b in batches for t in b.column(0).to_pylist()), table)
         if total:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([_dump(total)], pa.binary())], schema=one)
 
@@ -155,7 +242,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, table: int =
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     special = [t.content for t in load(tokenizer).get_added_tokens_decoder().values()]
-    counts = frequent(docs, lambda t: chunks(t, special), table)
+    counts = frequent(docs, lambda texts, k: chunk_summary(texts, special, k), table)
     words = sorted(counts, key=lambda w: (-counts[w], w))
     lengths = []
     for lo in range(0, len(words), 4096):
@@ -163,30 +250,47 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, table: int =
     tiers = docs.sparkSession.sparkContext.broadcast((pack(np.frombuffer("\0".join(words).encode(), np.uint8)), np.array(lengths, np.uint8)))
     key = f"{tokenizer}|{id(tiers)}"
 
+    feed = len(encode(tokenizer, ["\n"])[0])
+
     def task(batches):
         if key not in _tables:
             names, n = tiers.value
+            names, n = unpack(names, np.uint8).tobytes().decode().split("\0"), n.tolist()
+            runs = [i for i, w in enumerate(names) if w.strip() and not SPACE.search(w, 1)] if n else []
             _tables.clear()
-            _tables[key] = dict(zip(unpack(names, np.uint8).tobytes().decode().split("\0"), n.tolist()))
-        first, miss = _tables[key], _misses.setdefault(tokenizer, {})
+            _tables[key] = dict(zip(names, n)), dict(zip(key_of([names[i] for i in runs]), [n[i] for i in runs], strict=True))
+        (first, first_by_key), (miss, miss_by_key) = _tables[key], _misses.setdefault(tokenizer, ({}, {}))
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            sizes, counts = [], []
-            for lo in range(0, len(texts), 256):
-                part = [t or "" for t in texts[lo : lo + 256]]
-                cut = [chunks(t, special) for t in part]
-                got = [list(map(first.get, words)) for words in cut]
-                if len(miss) > cache:
-                    miss.clear()
-                rest = [[w for w, n in zip(words, ns, strict=True) if n is None] if None in ns else () for words, ns in zip(cut, got, strict=True)]
-                new = {w for words in rest for w in words} - miss.keys()
-                learn(tokenizer, new, miss)
-                for t, ns, words in zip(part, got, rest, strict=True):
-                    counts.append(sum(n for n in ns if n is not None) + sum(map(miss.__getitem__, words)) if words else sum(ns))
-                    sizes.append(len(t.encode()))
-                for w in new:
-                    if len(w) > LONGEST:
-                        del miss[w]
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], schema=ARROW)
+            ids, texts = b.column(0), [t or "" for t in b.column(1).to_pylist()]
+            sizes, counts = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+            for lo, hi in parts(texts, CHUNK):
+                plain = [i for i in range(lo, hi) if simple(texts[i], special)]
+                if plain:
+                    r = Runs([texts[i] for i in plain])
+                    if len(miss_by_key) > cache:
+                        miss_by_key.clear()
+                    keys = r.keys.tolist()
+                    found = list(map(first_by_key.get, keys))
+                    rest = [i for i, n in enumerate(found) if n is None]
+                    new = {keys[i]: r.string(i) for i in rest if keys[i] not in miss_by_key}
+                    known: dict[str, int] = {}
+                    learn(tokenizer, set(new.values()), known)
+                    miss_by_key.update((k, known[w]) for k, w in new.items())
+                    for i in rest:
+                        found[i] = miss_by_key[keys[i]]
+                    sizes[plain] = r.bytes
+                    counts[plain] = r.totals(np.array(found, np.int64)) + feed * r.feeds
+                for i in sorted(set(range(lo, hi)).difference(plain)):
+                    words = chunks(texts[i], special)
+                    if len(miss) > cache:
+                        miss.clear()
+                    new = set(words) - first.keys() - miss.keys()
+                    learn(tokenizer, new, miss)
+                    sizes[i] = len(texts[i].encode())
+                    counts[i] = sum(first[w] if w in first else miss[w] for w in words)
+                    for w in new:
+                        if len(w) > LONGEST:
+                            del miss[w]
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes), pa.array(counts), pa.array(counts > limit)], schema=ARROW)
 
     return docs.mapInArrow(task, SCHEMA)
