@@ -19,7 +19,7 @@ from quern.operators.graph import Graph
 from quern.operators.relational import except_keeping_duplicates, filter_by_range, histogram, subtract_by_key
 from quern.plans.datalog import Datalog
 from quern.plans.recursive_sql import RecursiveSQL
-from quern.session import shared_dir
+from quern.session import shared_dir, ship
 from quern.sources import files
 from quern.streaming import counts
 
@@ -48,9 +48,19 @@ def from_sql(text: str) -> Query:
     return run
 
 
+def shipped(f: Query) -> Query:
+    """The query, with the package on the workers."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def add(name: str, spark_query: Query | str, oracle: str | None = None) -> None:
     """Register a query; a text without an oracle is its own."""
-    QUERIES[name] = from_sql(spark_query) if isinstance(spark_query, str) else spark_query
+    QUERIES[name] = shipped(from_sql(spark_query) if isinstance(spark_query, str) else spark_query)
     if oracle is None and isinstance(spark_query, str):
         oracle = spark_query
     if oracle:
