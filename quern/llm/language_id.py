@@ -168,6 +168,32 @@ def shares(texts: list[str], masks: np.ndarray, fill: np.ndarray, bits: int) ->
     return n, np.clip((out / np.maximum(n, 1)[:, None] - false) / np.maximum(1 - false, 1e-9), 0, 1)
 
 
+def predictor(docs: DataFrame, share: float):
+    """A function of texts that gives their languages and scores, learned from documents and ready for the workers."""
+    rest = F.crc32(F.col("doc_id").cast("string")) % 5
+    langs, masks, fill, bits = learn(docs.where(rest != 0).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null"), share)
+    model = docs.sparkSession.sparkContext.broadcast((langs, C.pack(masks), masks.shape, fill))
+    opened: dict = {}
+
+    def judge(texts: list[str | None]) -> tuple[list[str], list[float]]:
+        names, packed, shape, fill = model.value
+        if "m" not in opened:
+            opened["m"] = C.unpack(packed, np.uint64).reshape(shape)
+        texts = [t or "" for t in texts]
+        best: list[str] = []
+        score: list[float] = []
+        for lo, hi in slices(texts):
+            n, s = shares(texts[lo:hi], opened["m"], fill, bits)
+            if not names:
+                n[:] = 0
+            top = s.argmax(axis=1) if names else n
+            best += [names[i] if k else "und" for i, k in zip(top, n, strict=True)]
+            score += [float(s[j, i]) if k else 0.0 for j, (i, k) in enumerate(zip(top, n, strict=True))]
+        return best, score
+
+    return judge
+
+
 def predict(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of documents.
 
@@ -177,27 +203,27 @@ def predict(docs: DataFrame, share: float = SHARE) -> DataFrame:
     more training text.  A null doc_id is neither learned from nor held out; repeated
     rows are rows; an empty table gives none.
     """
-    spark = docs.sparkSession
-    rest = F.crc32(F.col("doc_id").cast("string")) % 5
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(rest == 0, F.lit(False)).alias("held"), F.coalesce(rest != 0, F.lit(False)).alias("train"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    langs, masks, fill, bits = learn(docs.where("train and lang is not null"), share)
-    model = spark.sparkContext.broadcast((langs, C.pack(masks), masks.shape, fill))
-    opened: dict = {}
+    judge = predictor(docs, share)
+
+    def task(batches):
+        for b in batches:
+            best, score = judge(b.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best, pa.string()), pa.array(score, pa.float64())], schema=ARROW)
+
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, F.col("text").cast("string").alias("text")).mapInArrow(task, SCHEMA)
+
+
+def keep(docs: DataFrame, least: float, share: float = SHARE) -> DataFrame:
+    """The rows of documents in a learned language with a score of at least `least`; see predict().
+
+    Decided where the rows are read: no shuffle.
+    """
+    judge, place = predictor(docs, share), docs.columns.index("text")
 
     def task(batches):
-        names, packed, shape, fill = model.value
-        if "m" not in opened:
-            opened["m"] = C.unpack(packed, np.uint64).reshape(shape)
         for b in batches:
-            ids, held, texts = b.column(0), b.column(1), [t or "" for t in b.column(2).to_pylist()]
-            best, score = [], []
-            for lo, hi in slices(texts):
-                n, s = shares(texts[lo:hi], opened["m"], fill, bits)
-                if not names:
-                    n[:] = 0
-                top = s.argmax(axis=1) if names else n
-                best += [names[i] if k else "und" for i, k in zip(top, n, strict=True)]
-                score += [s[j, i] if k else 0.0 for j, (i, k) in enumerate(zip(top, n, strict=True))]
-            yield pa.RecordBatch.from_arrays([ids, held, pa.array(best, pa.string()), pa.array(score, pa.float64())], schema=ARROW)
-
-    return docs.select("doc_id", "held", "text").mapInArrow(task, SCHEMA)
+            best, score = judge(b.column(place).to_pylist())
+            yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(best, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(task, docs.schema)
