@@ -5,9 +5,10 @@ sum or count).  Rules derive candidate rows from the last iteration's changes; w
 new or better is the next change, until nothing changes.
 
 Candidates meet what is known in one aggregation on the keys, not in a join: it treats
-nulls as equal, combines on the map side and needs one shuffle.  Every change is
-checkpointed in the shared folder, so that lineage stays short and a lost executor
-costs a read; what is known is the union of the changes, compacted now and then.
+nulls as equal, combines on the map side and needs one shuffle.  Every change is written
+to the shared folder, and counted as it is written, so that an iteration is one job,
+lineage stays short and a lost executor costs a read; what is known is the union of the
+changes, compacted now and then.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quern.session import shared_dir
+from quern.session import shared_path
 
 COMPACT = 8
 MOST_ITERATIONS = 10_000
@@ -91,6 +92,14 @@ class Stats:
         return len(self.changed)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, int]:
+    """The rows, cut from their lineage, and how many they are."""
+    seen = Observation()
+    path = shared_path(df.sparkSession, "fixpoint")
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
+
+
 def run(predicates: list[Predicate], most_iterations: int = MOST_ITERATIONS, stats: Stats | None = None) -> dict[str, DataFrame]:
     """The fixpoint of mutually recursive predicates; all are evaluated once an iteration on the last one's changes.
 
@@ -98,48 +107,34 @@ def run(predicates: list[Predicate], most_iterations: int = MOST_ITERATIONS, sta
     Diverged is raised after `most_iterations`.
     """
     stats = stats if stats is not None else Stats()
-    spark = None
 
-    def cut(p: Predicate, found: list[DataFrame]) -> DataFrame | None:
-        nonlocal spark
+    def change(p: Predicate, found: list[DataFrame]) -> tuple[DataFrame, int] | None:
         if not found:
             return None
         rows = reduce(DataFrame.union, [f.toDF(*p.columns) for f in found])
-        spark = spark or rows.sparkSession
-        shared_dir(spark)
-        if not p.changes and p.value and rows.schema[p.value].dataType.typeName() in ("byte", "short", "integer"):
-            rows = rows.withColumn(p.value, F.col(p.value).cast("bigint"))  # sums of steps outgrow an int
         if p.changes:
             kinds = p.changes[0].schema
             rows = rows.select(*(F.col(c).cast(kinds[c].dataType).alias(c) for c in p.columns))
-        return p.fresh(rows).checkpoint()
+        elif p.value and rows.schema[p.value].dataType.typeName() in ("byte", "short", "integer"):
+            rows = rows.withColumn(p.value, F.col(p.value).cast("bigint"))  # sums of steps outgrow an int
+        return written(p.fresh(rows))
 
-    delta: dict[str, DataFrame] = {}
+    delta = {p.name: c for p in predicates if (c := change(p, [f() for f in p.base]))}
     for p in predicates:
-        first = cut(p, [f() for f in p.base])
-        if first is not None:
-            p.changes.append(first)
-            delta[p.name] = first
-    empty = {p.name: None for p in predicates}
+        if p.name in delta:
+            p.changes.append(delta[p.name][0])
     for _ in range(most_iterations):
-        counts = {n: d.count() for n, d in delta.items()}
-        stats.changed.append(counts)
-        delta = {n: d for n, d in delta.items() if counts[n]}
-        if not delta:
+        stats.changed.append({n: k for n, (_, k) in delta.items()})
+        changed = {n: d for n, (d, k) in delta.items() if k}
+        if not changed:
             break
-        known = empty | {p.name: p.known() for p in predicates if p.changes}
-        new = {}
-        for p in predicates:
-            found = [r for f in p.rules if (r := f(delta, known)) is not None]
-            change = cut(p, found)
-            if change is not None:
-                new[p.name] = change
+        known = {p.name: p.known() if p.changes else None for p in predicates}
+        delta = {p.name: c for p in predicates if (c := change(p, [r for f in p.rules if (r := f(changed, known)) is not None]))}
         for p in predicates:
-            if p.name in new:
-                p.changes.append(new[p.name])
+            if p.name in delta:
+                p.changes.append(delta[p.name][0])
                 if len(p.changes) > COMPACT:
-                    p.changes = [p.known().checkpoint()]
-        delta = new
+                    p.changes = [written(p.known())[0]]
     else:
         raise Diverged(f"{', '.join(p.name for p in predicates)}: no fixpoint after {most_iterations} iterations")
     return {p.name: p.known() for p in predicates if p.changes}

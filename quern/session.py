@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -62,3 +63,32 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
     return at.rstrip("/")
+
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there goes when this process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path that shared_path() gave."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _made.remove((spark, path))
+
+
+def _clean() -> None:
+    for spark, path in list(_made):
+        try:
+            remove(spark, path)
+        except Exception:  # the session has ended: the folder's owner clears it
+            return
+
+
+atexit.register(_clean)
