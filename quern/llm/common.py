@@ -10,38 +10,15 @@ so no reduce partition grows with a key's frequency.
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import shared_dir
+from quern.session import remove, shared_dir, shared_path
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-_made: list[tuple[SparkSession, str]] = []
-
-
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended: the folder's owner clears it
-            return
-
-
-atexit.register(_clean)
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -57,11 +34,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def discard(*frames: DataFrame) -> None:
     """Delete what materialize() wrote, once nothing reads it any more."""
     for df in frames:
-        path = df._quern_path
-        jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        _made.remove((df.sparkSession, path))
+        remove(df.sparkSession, df._quern_path)
 
 
 def release(spark: SparkSession) -> None:
