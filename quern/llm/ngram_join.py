@@ -26,7 +26,7 @@ from quern.llm.shingles import N, shingles, words_of
 
 THRESHOLD = 0.8
 RECALL = 0.9995
-BLOCK = 256
+BLOCK = 128
 
 
 def choose_bands(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
