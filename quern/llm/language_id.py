@@ -24,8 +24,8 @@ from quern.llm import common as C
 ORDERS = (3, 4)
 SHARE = 1e-5
 HASHES = 3
-CHARS = 1_000_000  # letters worked on at a time
-FLUSH = 4_000_000
+CHARS = 250_000  # letters worked on at a time
+FLUSH = 1_000_000
 MOST_LANGUAGES = 4096
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])

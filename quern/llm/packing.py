@@ -112,7 +112,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, win
 
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in parts(texts, 1 << 22):
+            for lo, hi in parts(texts, 1 << 21):
                 for k, ids in zip(names[lo:hi], ids_of([t or "" for t in texts[lo:hi]]), strict=True):
                     held.append(np.concatenate([ids, end]))
                     keys.append(k)

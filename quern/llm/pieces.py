@@ -68,7 +68,7 @@ class ChunkIds:
     those of at most two tokens.  That changes times only.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000, chunk: int = 1 << 22):
+    def __init__(self, path: str, most: int = 700_000, chunk: int = 1 << 21):
         self.path, self.most, self.chunk = path, most, chunk
         self.place: dict[int, int] = {}
         self.first, self.size, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0

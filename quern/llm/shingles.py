@@ -43,7 +43,7 @@ def scan(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(char.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     line = np.cumsum(kind == LINE)
-    if len(b) <= 4 * CHUNK:
+    if len(b) <= 2 * CHUNK:
         up, down = _grown(len(b))
         v = _VALUE[b] * up[: len(b)]
         v *= char
@@ -78,7 +78,7 @@ def run_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray, value: np.ndar
     i = 0
     while i < len(start):  # pieces that end between runs
         lo = start[i]
-        j = max(i + 1, int(np.searchsorted(end, lo + 4 * CHUNK, "right")))
+        j = max(i + 1, int(np.searchsorted(end, lo + CHUNK, "right")))
         hi = end[j - 1]
         up, down = _grown(hi - lo)
         s = np.zeros(hi - lo + 1, np.uint64)
