@@ -91,6 +91,7 @@ def learn(docs: DataFrame, share: float = SHARE) -> tuple[list[str], np.ndarray,
     parts = C.partitions(spark)
 
     def count(batches):
+        C.trim()
         held: dict[int, list] = {}
         n = 0
 
@@ -206,6 +207,7 @@ def predict(docs: DataFrame, share: float = SHARE) -> DataFrame:
     judge = predictor(docs, share)
 
     def task(batches):
+        C.trim()
         for b in batches:
             best, score = judge(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best, pa.string()), pa.array(score, pa.float64())], schema=ARROW)
@@ -222,6 +224,7 @@ def keep(docs: DataFrame, least: float, share: float = SHARE) -> DataFrame:
     judge, place = predictor(docs, share), docs.columns.index("text")
 
     def task(batches):
+        C.trim()
         for b in batches:
             best, score = judge(b.column(place).to_pylist())
             yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(best, score, strict=True)], pa.bool_()))

@@ -103,6 +103,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: floa
     signed = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("bands", pa.binary())])
 
     def sign(batches):
+        C.trim()
         for batch in batches:
             keys, found = [], []
             for w in words_of(batch.column(1).to_pylist()):
@@ -136,6 +137,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: floa
 
     def verify(batches):
         """Rows (a, b, null): a spanning forest of the block's links; (a, null, n): n documents are linked to a."""
+        C.trim()
         for group in C.sorted_groups(batches, ["root", "lo", "hi"]):
             if len(group) < 2:
                 continue

@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import trim
 from quern.llm.pieces import ChunkIds
 from quern.llm.shingles import parts
 
@@ -90,6 +91,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, win
         raise ValueError("length is a power of two")
 
     def task(batches):
+        trim()
         ids_of = _caches.setdefault(tokenizer, ChunkIds(tokenizer))
         base = TaskContext.get().partitionId() << 36
         end = np.array([end_id], np.uint32)
