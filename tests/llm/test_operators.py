@@ -436,3 +436,30 @@ def test_key_coding(spark):
     assert (common.unpack_sorted(common.pack_sorted(k)) == k).all() and len(common.unpack_sorted(common.pack_sorted(k[:0]))) == 0
     f = common.key_filter(spark.createDataFrame([(int(x),) for x in k[:500]], "k long"), bits=22)
     assert common.may_hold(f, k[:500]).all() and common.may_hold(f, k[500:]).mean() < 0.01
+
+
+def test_line_dedup_reaches_the_edit_similarity(spark):
+    r = random.Random(21)
+    word = lambda: f"w{r.randrange(4000)}"
+    rows, groups = [], 0
+    for n in (5, 6, 8, 10, 13, 16, 20, 30, 47, 50, 60, 100, 200):
+        for _ in range(6):
+            a = [word() for _ in range(n)]
+            b = list(a)
+            for at in r.sample(range(n), n // 5):  # exactly 0.8 where 5 divides n
+                b[at] = word()
+            assert line_dedup.similar(*(shingles.word_hashes(" ".join(x)) for x in (a, b)), 0.8)
+            far = list(a)
+            for at in r.sample(range(n), n // 5 + 2):
+                far[at] = "far" + word()
+            rows += [(3 * groups, " ".join(a)), (3 * groups + 1, " ".join(b)), (3 * groups + 2, " ".join(far))]
+            groups += 1
+    got = {x.doc_id for x in line_dedup.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    lines = [(d, shingles.word_hashes(t)) for d, t in rows]
+    trees = common.Union(len(lines))
+    for i, (_, a) in enumerate(lines):
+        for j in range(i):
+            if line_dedup.similar(a, lines[j][1], 0.8):  # edit similarity alone
+                trees.join(i, j)
+    want = {d for i, (d, _) in enumerate(lines) if trees.find(i) != i}
+    assert len(want) >= groups and got == want
