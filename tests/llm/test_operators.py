@@ -463,3 +463,9 @@ def test_line_dedup_reaches_the_edit_similarity(spark):
                 trees.join(i, j)
     want = {d for i, (d, _) in enumerate(lines) if trees.find(i) != i}
     assert len(want) >= groups and got == want
+
+
+def test_line_dedup_takes_equal_short_lines(spark):
+    rows = [(1, "of, edti\n\n###\nof\na b c d"), (2, "Of edti.\n\n###\na b c e\nA, b c d"), (3, "a b c d")]
+    out, gone = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.text, r[gone]) for r in out.collect()} == {1: (rows[0][1], None), 2: ("\n###\na b c e", [0, 4]), 3: ("", [0])}
