@@ -47,27 +47,28 @@ def assign(sizes: list[int], length: int, linear: float, quadratic: float) -> li
     size = list(room)
     pieces = sorted(((min(length, n - s), d, s) for d, n in enumerate(sizes) for s in range(0, n, length)), key=lambda p: (-p[0], p[1], p[2]))
     cost = lambda n: linear * n + quadratic * n * n
-    heap = [(0.0, i) for i in range(len(room))]  # sequences by cost; those that had no room wait in `full`
+    heap = [(0.0, i) for i in range(len(room))]  # sequences by cost
     placed, late = [], []
+    aside: list[tuple[int, float, int]] = []  # those that had no room for a piece, by room, most first
 
     def put(d: int, s: int, n: int, i: int) -> None:
         placed.append((d, s, n, i, size[i] - room[i]))
         room[i] -= n
 
     for n, d, s in pieces:
-        aside = []
-        while heap and len(aside) < 64:
+        while aside and -aside[0][0] >= n:  # pieces get smaller: there is room again
+            _, c, i = heapq.heappop(aside)
+            heapq.heappush(heap, (c, i))
+        while heap:
             c, i = heapq.heappop(heap)
             if room[i] >= n:
                 put(d, s, n, i)
                 if room[i]:
-                    aside.append((c + cost(n), i))
+                    heapq.heappush(heap, (c + cost(n), i))
                 break
-            aside.append((c, i))
+            heapq.heappush(aside, (-room[i], c, i))
         else:
             late.append((n, d, s))
-        for x in aside:
-            heapq.heappush(heap, x)
     open_ = sorted((i for i in range(len(room)) if room[i]), key=lambda i: (-room[i], i))
     for n, d, s in late:  # what is left is cut over the largest rooms
         while n:

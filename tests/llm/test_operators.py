@@ -469,3 +469,21 @@ def test_line_dedup_takes_equal_short_lines(spark):
     rows = [(1, "of, edti\n\n###\nof\na b c d"), (2, "Of edti.\n\n###\na b c e\nA, b c d"), (3, "a b c d")]
     out, gone = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id: (r.text, r[gone]) for r in out.collect()} == {1: (rows[0][1], None), 2: ("\n###\na b c e", [0, 4]), 3: ("", [0])}
+
+
+def test_packing_cuts_only_what_fits_nowhere():
+    r = random.Random(4)
+    for _ in range(3):
+        sizes = [min(40_000, int(r.lognormvariate(6, 1))) + 1 for _ in range(1100)]
+        room = packing.capacities(sum(sizes), 4096)
+        cost, want = [0.0] * len(room), Counter()
+        size = list(room)
+        for n, d, s in sorted(((min(4096, n - s), d, s) for d, n in enumerate(sizes) for s in range(0, n, 4096)), key=lambda p: (-p[0], p[1], p[2])):
+            fit = [i for i in range(len(room)) if room[i] >= n]
+            if fit:
+                i = min(fit, key=lambda i: (cost[i], i))
+                want[d, s, n, i, size[i] - room[i]] += 1
+                cost[i] += n + n * n / 2048
+                room[i] -= n
+        got = Counter(packing.assign(sizes, 4096, 1.0, 1 / 2048))
+        assert not want - got
