@@ -41,3 +41,17 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_streaming_kmeans_reads_every_line(spark, duck):
+    rows = duck.execute("SELECT l_linenumber % 7, l_quantity::DOUBLE FROM lineitem").fetchall()
+    centres, weights = [10.0, 40.0], [1.0, 1.0]
+    for k in range(7):
+        batch = [x for n, x in rows if n == k]
+        near = [min((0, 1), key=lambda c, x=x: abs(x - centres[c])) for x in batch]
+        for c in (0, 1):
+            of = [x for x, i in zip(batch, near) if i == c]
+            weights[c] *= 0.5
+            centres[c] = (centres[c] * weights[c] + sum(of)) / (weights[c] + len(of))
+            weights[c] += len(of)
+    assert sorted(r.centre for r in QUERIES["ml_streaming_kmeans"](spark, SF).collect()) == pytest.approx(sorted(centres), rel=1e-6)
