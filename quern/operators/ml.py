@@ -162,8 +162,9 @@ def ml_statistics(t: Tables) -> DataFrame:
     df = points(t)
     chi = stat.ChiSquareTest.test(df, "features", "label").select(vector_to_array("pValues").alias("values"))
     ks = stat.KolmogorovSmirnovTest.test(df, "l_quantity", "norm", 25.0, 15.0).select(F.array("pValue").alias("values"))
-    both = stat.Correlation.corr(df, "features").select(F.array(F.lit(1.0)).alias("values"))
-    return chi.withColumn("test", F.lit("chi")).union(ks.withColumn("test", F.lit("ks"))).union(both.withColumn("test", F.lit("corr")))
+    names, matrix = ("l_quantity", "l_discount", "l_tax"), stat.Correlation.corr(df, "features").first()[0].toArray()
+    both = df.sparkSession.createDataFrame([([round(float(matrix[i, j]), 9)], f"corr {names[i]} {names[j]}") for i in range(3) for j in range(i)], "values array<double>, test string")
+    return chi.withColumn("test", F.lit("chi")).union(ks.withColumn("test", F.lit("ks"))).union(both)
 
 
 @ml

@@ -55,3 +55,9 @@ def test_streaming_kmeans_reads_every_line(spark, duck):
             centres[c] = (centres[c] * weights[c] + sum(of)) / (weights[c] + len(of))
             weights[c] += len(of)
     assert sorted(r.centre for r in QUERIES["ml_streaming_kmeans"](spark, SF).collect()) == pytest.approx(sorted(centres), rel=1e-6)
+
+
+def test_statistics_give_the_correlations(spark, duck):
+    got = {r.test: r["values"] for r in QUERIES["ml_statistics"](spark, SF).collect()}
+    for a, b in (("l_discount", "l_quantity"), ("l_tax", "l_quantity"), ("l_tax", "l_discount")):
+        assert got[f"corr {a} {b}"] == [pytest.approx(duck.execute(f"SELECT corr({a}::DOUBLE, {b}::DOUBLE) FROM lineitem").fetchone()[0], abs=1e-8)]
