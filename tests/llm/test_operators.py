@@ -487,3 +487,10 @@ def test_packing_cuts_only_what_fits_nowhere():
                 room[i] -= n
         got = Counter(packing.assign(sizes, 4096, 1.0, 1 / 2048))
         assert not want - got
+
+
+def test_lm_models_what_occurs_three_times(spark):
+    train = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 10]
+    rows = [(i, f"u{i} v{i}") for i in train[30:]] + [(i, "p q") for i in train[:3]]
+    got = {r.doc_id: r for r in suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[train[0]].score > got[train[0]].base_score + 1
