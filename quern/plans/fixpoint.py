@@ -6,8 +6,7 @@ new or better is the next change, until nothing changes.
 
 Candidates meet what is known in one aggregation on the keys, not in a join: it treats
 nulls as equal, combines on the map side and needs one shuffle.  Every change is written
-to the shared folder, and counted as it is written, so that an iteration is one job,
-lineage stays short and a lost executor costs a read; what is known is the union of the
+to the shared folder and counted from the files, so that lineage stays short and a lost executor costs a read; what is known is the union of the
 changes, compacted now and then.
 """
 
@@ -17,7 +16,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.session import shared_path
@@ -93,11 +92,11 @@ class Stats:
 
 
 def written(df: DataFrame) -> tuple[DataFrame, int]:
-    """The rows, cut from their lineage, and how many they are."""
-    seen = Observation()
+    """The rows, cut from their lineage, and how many they are; the count reads the files' footers alone."""
     path = shared_path(df.sparkSession, "fixpoint")
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    return out, out.count()
 
 
 def run(predicates: list[Predicate], most_iterations: int = MOST_ITERATIONS, stats: Stats | None = None) -> dict[str, DataFrame]:

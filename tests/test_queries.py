@@ -61,3 +61,9 @@ def test_statistics_give_the_correlations(spark, duck):
     got = {r.test: r["values"] for r in QUERIES["ml_statistics"](spark, SF).collect()}
     for a, b in (("l_discount", "l_quantity"), ("l_tax", "l_quantity"), ("l_tax", "l_discount")):
         assert got[f"corr {a} {b}"] == [pytest.approx(duck.execute(f"SELECT corr({a}::DOUBLE, {b}::DOUBLE) FROM lineitem").fetchone()[0], abs=1e-8)]
+
+
+def test_models_predict_after_a_fixpoint(spark):
+    """What a fixpoint leaves in a session must not break models that hold the session."""
+    assert QUERIES["rsql_reach"](spark, SF).count() > 0
+    assert QUERIES["ml_logistic_regression"](spark, SF).count() > 0

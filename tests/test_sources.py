@@ -52,7 +52,7 @@ def test_jdbc_and_tables(spark):
     assert files.jdbc(spark, url, "t", **how).count() == 20
     ranged = files.jdbc(spark, url, "t", column="k", low=0, high=20, parts=4, **how)
     assert ranged.rdd.getNumPartitions() == 4 and ranged.count() == 20
-    assert files.jdbc(spark, url, "t", predicates=["k < 5", "k >= 15"], **how).count() == 10
+    assert files.jdbc(spark, url, "t", predicates=['"k" < 5', '"k" >= 15'], **how).count() == 10
 
 
 def test_saved_tables(spark, tmp_path):
