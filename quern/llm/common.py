@@ -209,21 +209,30 @@ def sorted_groups(batches, keys: list[str]):
         yield held
 
 
-def blocks(members: DataFrame, size: int) -> DataFrame:
-    """Members of components, dealt to blocks: columns root, lo, hi, half and what members had.
+def chunked(members: DataFrame, size: int) -> DataFrame:
+    """Members (root, node, ...) of components, dealt to blocks: columns root, lo, hi, half and what members had.
 
     A component of up to `size` members is one block (lo = hi = 0).  A larger one is cut
     into chunks by a hash of `node`, and every unordered pair of chunks is a block, so
     that every pair of members meets in exactly one block (half tells the chunk; where
     lo = hi all pairs count, else those across) and no task holds more than about two
-    chunks.  Rows come sorted by block within partitions.
+    chunks.
     """
-    n = members.groupBy("root").agg(F.count("*").alias("members"))
-    cut = members.join(n, "root").withColumn("chunks", F.ceil(F.col("members") / size).cast("int"))
-    cut = cut.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    cut = cut.select("*", other).select(*members.columns, F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), F.col("chunk").alias("half"))
-    return cut.repartition(partitions(members.sparkSession), "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
+    large = members.groupBy("root").agg(F.count("*").alias("__n")).where(F.col("__n") > size)
+    large = large.select("root", F.ceil(F.col("__n") / size).cast("int").alias("__chunks")).repartition(partitions(members.sparkSession))  # the join has a shuffle of its own, which Spark may split
+    cut = members.join(large, "root", "left").withColumn("__chunks", F.coalesce("__chunks", F.lit(1)))
+    cut = cut.withColumn("half", F.pmod(F.xxhash64("node"), F.col("__chunks")).cast("int"))
+    cut = cut.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1)))
+    return cut.select(*members.columns, F.least("half", "__other").alias("lo"), F.greatest("half", "__other").alias("hi"), "half")
+
+
+def by_block(dealt: DataFrame) -> DataFrame:
+    """The rows of each block of chunked() together, in order."""
+    return dealt.repartition(partitions(dealt.sparkSession), "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
+
+
+def blocks(members: DataFrame, size: int) -> DataFrame:
+    return by_block(chunked(members, size))
 
 
 class Union:

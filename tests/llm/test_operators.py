@@ -166,11 +166,10 @@ def test_surt():
 def brute_lines(rows, similarity=0.8, least=5):
     lines = [(d, i, shingles.word_hashes(x)) for d, t in rows for i, x in enumerate((t or "").split("\n"))]
     lines = sorted((x for x in lines if len(x[2]) >= least and x[0] is not None), key=lambda x: x[:2])
-    sims = line_dedup.simhashes(np.concatenate([x[2] for x in lines]), np.array([len(x[2]) for x in lines])).view(np.uint64)
     trees = common.Union(len(lines))
     for i in range(len(lines)):
         for j in range(i):
-            if (lines[i][2].tobytes() == lines[j][2].tobytes()) or (np.bitwise_count(sims[i] ^ sims[j]) <= line_dedup.DISTANCE and line_dedup.similar(lines[i][2], lines[j][2], similarity)):
+            if (lines[i][2].tobytes() == lines[j][2].tobytes()) or line_dedup.similar(lines[i][2], lines[j][2], similarity):
                 trees.join(i, j)
     gone = {}
     for i, x in enumerate(lines):
@@ -194,23 +193,6 @@ def test_line_dedup_blocks_and_columns(docs, empty):
     assert kept[905] == "tie one two three four five" and 906 not in kept and {900, 901, 902, 903, None} <= set(kept)
 
 
-def test_simhash_tables_miss_nothing(spark):
-    r = np.random.default_rng(2)
-    base = r.integers(0, 1 << 63, 40, np.uint64)
-    near = [b ^ np.bitwise_or.reduce(np.uint64(1) << r.choice(64, k, replace=False).astype(np.uint64)) for b in base for k in (1, 2, 3)]
-    sims = np.unique(np.concatenate([base, np.array(near, np.uint64)]))
-    want = common.Union(len(sims))
-    for i in range(len(sims)):
-        for j in np.flatnonzero(np.bitwise_count(sims[:i] ^ sims[i]) <= 3):
-            want.join(i, int(j))
-    for n in (100, 1 << 22, 1 << 34):  # four, five and six blocks
-        got = common.Union(len(sims))
-        place = {int(s): i for i, s in enumerate(sims.view(np.int64))}
-        for a, b in line_dedup.near_pairs(spark.createDataFrame([(int(s),) for s in sims.view(np.int64)], "sim long"), n).collect():
-            got.join(place[a], place[b])
-        assert [got.find(i) for i in range(len(sims))] == [want.find(i) for i in range(len(sims))]
-
-
 def test_edit_distance():
     r = random.Random(3)
     for _ in range(400):
@@ -223,6 +205,19 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b) == row[-1]
 
 
+def test_many_distances_at_once():
+    r = np.random.default_rng(4)
+    lines = [r.integers(2, 9, n).astype(np.uint32) for n in [*r.integers(1, 20, 60), *r.integers(60, 70, 20), *r.integers(120, 200, 12), 2100]]
+    for k in range(0, 90, 3):  # near copies
+        lines[k + 1] = np.delete(lines[k], r.integers(0, len(lines[k]), len(lines[k]) // 9))
+    w, size = np.concatenate(lines), np.array([len(x) for x in lines])
+    i, j = np.triu_indices(len(lines), 1)
+    for least in (0.8, 0.3):
+        got = line_dedup.similar_pairs(w, np.cumsum(size) - size, size, i, j, least)
+        want = [line_dedup.edit_distance(lines[a].tolist(), lines[b].tolist()) <= max(size[a], size[b]) * (1 - least) + 1e-9 for a, b in zip(i, j)]
+        assert got.tolist() == want and any(want) and not all(want)
+
+
 # 4
 
 
