@@ -489,3 +489,18 @@ def test_lm_models_what_occurs_three_times(spark):
     rows = [(i, f"u{i} v{i}") for i in train[30:]] + [(i, "p q") for i in train[:3]]
     got = {r.doc_id: r for r in suffix_tree.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[train[0]].score > got[train[0]].base_score + 1
+
+
+def test_large_groups_of_lines(spark):
+    """Chains of near copies in groups of many parts, against brute force."""
+    r = random.Random(31)
+    base = [f"b{i}" for i in range(30)]
+    rows = []
+    for i in range(150):
+        a = list(base)
+        for at in r.sample(range(4, 30), 5 if i % 3 else 2):
+            a[at] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(a)))
+    rows += [(200 + i, " ".join(base[:4] + [f"y{i}{j}" for j in range(12)])) for i in range(40)]  # meet the others at a run only
+    got = {(x.doc_id) for x in line_dedup.repeated(spark.createDataFrame(rows, "doc_id long, text string"), block=16).collect()}
+    assert got == {d for d, _ in brute_lines(rows).items()} and 0 < len(got) < 150
