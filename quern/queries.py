@@ -317,8 +317,8 @@ add("stat_crosstab", lambda s, d: table(s, d, "lineitem").crosstab("l_returnflag
 add("stat_cov_corr", lambda s, d: s.createDataFrame([((li := table(s, d, "lineitem")).cov("l_quantity", "l_extendedprice"), li.corr("l_quantity", "l_extendedprice"))], "c double, r double").select(F.round("c", 2).alias("c"), F.round("r", 6).alias("r")), "SELECT round(covar_samp(l_quantity, l_extendedprice), 2) AS c, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem")
 add("describe_numbers", lambda s, d: table(s, d, "customer").describe("c_acctbal").where("summary IN ('count', 'min', 'max')").select("summary", F.col("c_acctbal").cast("double").alias("v")), "SELECT 'count' AS summary, CAST(count(c_acctbal) AS DOUBLE) AS v FROM customer UNION ALL SELECT 'min', min(c_acctbal) FROM customer UNION ALL SELECT 'max', max(c_acctbal) FROM customer")
 add("sample_rows", lambda s, d: table(s, d, "lineitem").sample(0.1, seed=3))
-add("random_split", lambda s, d: (lambda a, b: a.union(b))(*table(s, d, "nation").randomSplit([0.5, 0.5], seed=1)).select("n_nationkey"), "SELECT n_nationkey FROM nation")
-add("map_in_pandas", lambda s, d: table(s, d, "customer").select("c_custkey", "c_acctbal").mapInPandas(lambda it: (x.assign(c_acctbal=x.c_acctbal.round(0)) for x in it), "c_custkey long, c_acctbal double").select("c_custkey"), "SELECT c_custkey FROM customer")
+add("random_split", lambda s, d: (lambda a, b: a.select(F.lit("rows").alias("what"), "n_nationkey").union(b.select(F.lit("rows"), "n_nationkey")).union(a.intersect(b).select(F.lit("both"), "n_nationkey")))(*(x.select("n_nationkey") for x in table(s, d, "nation").randomSplit([0.5, 0.5], seed=1))), "SELECT 'rows' AS what, n_nationkey FROM nation")
+add("map_in_pandas", lambda s, d: table(s, d, "customer").select("c_custkey", "c_acctbal").mapInPandas(lambda it: (x.assign(c_acctbal=x.c_acctbal.round(0)) for x in it), "c_custkey long, c_acctbal double"), "SELECT c_custkey, round_even(c_acctbal, 0) AS c_acctbal FROM customer")
 
 
 def _range_of(pdf):
@@ -444,3 +444,6 @@ for _name, _make in ml.QUERIES.items():
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortest paths by recursive SQL."""
     return QUERIES["rsql_sssp"](spark, sf_dir)
+
+
+from quern import api_queries  # noqa: E402, F401  registers more
