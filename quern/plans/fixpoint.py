@@ -5,13 +5,16 @@ sum or count).  Rules derive candidate rows from the last iteration's changes; w
 new or better is the next change, until nothing changes.
 
 Candidates meet what is known in one aggregation on the keys, not in a join: it treats
-nulls as equal, combines on the map side and needs one shuffle.  Every change is written
-to the shared folder and counted from the files, so that lineage stays short and a lost executor costs a read; what is known is the union of the
-changes, compacted now and then.
+nulls as equal.  Every change is written to the shared folder in buckets of its keys, as
+many as there are shuffle partitions, so that what is known is read as it lies: only the
+candidates are shuffled, combined on the map side before.  Lineage stays short and a lost
+executor costs a read.  What is known is the union of the changes, compacted now and
+then; files that a compaction replaces are deleted.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -19,7 +22,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.session import shared_path
+from quern.session import remove, shared_path
 
 COMPACT = 8
 MOST_ITERATIONS = 10_000
@@ -41,6 +44,7 @@ class Predicate:
     mode: str = SET
     value: str | None = None
     changes: list[DataFrame] = field(default_factory=list)
+    replaced: list[DataFrame] = field(default_factory=list)
 
     @property
     def keys(self) -> list[str]:
@@ -65,20 +69,28 @@ class Predicate:
         """The candidates that are not known, or better than what is."""
         if not self.changes:
             return self.combined(candidates)
+        candidates = self.combined(candidates)
         if self.mode in (SUM, COUNT):
-            return self.combined(candidates)
+            return candidates
         every = reduce(DataFrame.unionByName, self.changes)
         if self.mode == SET:
             both = every.withColumn("__old", F.lit(1)).unionByName(candidates.withColumn("__old", F.lit(0)))
             return both.groupBy(*self.columns).agg(F.max("__old").alias("__old")).where("__old = 0").select(*self.columns)
         f = F.min if self.mode == MIN else F.max
         v = F.col(self.value)
-        both = every.select(*self.keys, v.alias("__old"), F.lit(None).cast(every.schema[self.value].dataType).alias("__new"))
-        both = both.unionByName(candidates.select(*self.keys, F.lit(None).cast(every.schema[self.value].dataType).alias("__old"), v.alias("__new")))
+        none = F.lit(None).cast(every.schema[self.value].dataType)
+        both = every.select(*self.keys, v.alias("__old"), none.alias("__new")).unionByName(candidates.select(*self.keys, none.alias("__old"), v.alias("__new")))
         best = both.groupBy(*self.keys).agg(f("__old").alias("__old"), f("__new").alias("__new"))
         better = F.col("__new") < F.col("__old") if self.mode == MIN else F.col("__new") > F.col("__old")
         return best.where(F.col("__new").isNotNull() & (F.col("__old").isNull() | better)).select(*self.keys, F.col("__new").alias(self.value)).select(*self.columns)
 
+    def compact(self) -> None:
+        """The changes as one; the last stays readable, as the next step starts from it."""
+        old, self.changes = self.changes, [written(self.known(), self.keys)[0]]
+        for df in self.replaced + old[:-1]:
+            remove(df.sparkSession, df._quern_path)
+        self.replaced = old[-1:]
+
 
 @dataclass
 class Stats:
@@ -91,12 +103,23 @@ class Stats:
         return len(self.changed)
 
 
-def written(df: DataFrame) -> tuple[DataFrame, int]:
-    """The rows, cut from their lineage, and how many they are; the count reads the files' footers alone."""
-    path = shared_path(df.sparkSession, "fixpoint")
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    return out, out.count()
+def written(df: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    """The rows, cut from their lineage and in buckets of their keys, and how many they are; the count reads the files' footers alone."""
+    spark = df.sparkSession
+    path = shared_path(spark, "fixpoint")
+    if keys:
+        place = {c: f"c{i}" for i, c in enumerate(df.columns)}
+        name = f"fixpoint_{uuid.uuid4().hex}"
+        writer = df.toDF(*place.values()).write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *(place[k] for k in keys))
+        writer.format("parquet").option("path", path).saveAsTable(name)
+        out = spark.table(name).toDF(*df.columns)
+        spark.sql(f"DROP TABLE {name}")  # the plan holds the buckets, and the files stay
+    else:
+        df.write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+    n = out.count()
+    out._quern_path = path
+    return out, n
 
 
 def run(predicates: list[Predicate], most_iterations: int = MOST_ITERATIONS, stats: Stats | None = None) -> dict[str, DataFrame]:
@@ -116,7 +139,7 @@ def run(predicates: list[Predicate], most_iterations: int = MOST_ITERATIONS, sta
             rows = rows.select(*(F.col(c).cast(kinds[c].dataType).alias(c) for c in p.columns))
         elif p.value and rows.schema[p.value].dataType.typeName() in ("byte", "short", "integer"):
             rows = rows.withColumn(p.value, F.col(p.value).cast("bigint"))  # sums of steps outgrow an int
-        return written(p.fresh(rows))
+        return written(p.fresh(rows), p.keys)
 
     delta = {p.name: c for p in predicates if (c := change(p, [f() for f in p.base]))}
     for p in predicates:
@@ -133,7 +156,7 @@ def run(predicates: list[Predicate], most_iterations: int = MOST_ITERATIONS, sta
             if p.name in delta:
                 p.changes.append(delta[p.name][0])
                 if len(p.changes) > COMPACT:
-                    p.changes = [written(p.known())[0]]
+                    p.compact()
     else:
         raise Diverged(f"{', '.join(p.name for p in predicates)}: no fixpoint after {most_iterations} iterations")
     return {p.name: p.known() for p in predicates if p.changes}

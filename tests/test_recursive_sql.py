@@ -2,7 +2,7 @@
 
 import pytest
 
-from quern.plans.fixpoint import Diverged, Stats, closure
+from quern.plans.fixpoint import MIN, Diverged, Predicate, Stats, closure, written
 from quern.plans.recursive_sql import RecursiveSQL, SyntaxProblem, parse, references
 
 EDGES = [(0, 1, 4), (0, 2, 1), (2, 1, 1), (1, 3, 1), (3, 0, 1), (4, 5, 1)]
@@ -81,3 +81,15 @@ def test_fixpoint_directly(spark):
     s = Stats()
     out = closure(spark.createDataFrame([(0,)], "a int"), lambda d: d.join(e, "a").select("b"), stats=s)
     assert out.count() == 31 and s.iterations == 32  # past a compaction
+
+
+def test_known_rows_are_not_shuffled(spark):
+    p = Predicate("p", ["a", "b"], [], [], MIN, "b")
+    for lo in (0, 50):
+        p.changes.append(written(p.combined(spark.range(lo, lo + 60).selectExpr("id AS a", "id * 2 AS b")), p.keys)[0])
+    fresh = p.fresh(spark.range(100, 130).selectExpr("id AS a", "id AS b"))
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Bucketed: true") == 2
+    assert rows(fresh) == [(a, a) for a in range(100, 130)]
+    p.compact()
+    assert rows(p.known()) == [(a, 2 * a) for a in range(110)]
