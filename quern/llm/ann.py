@@ -54,7 +54,11 @@ def centroids(x: np.ndarray, n: int, rounds: int = 8, seed: int = 11) -> np.ndar
 
 
 def rows_of(column, d: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """(places, float64 rows) of the vectors of dimension d (the most common in the batch if None) that are finite, complete and not zero."""
+    """(places, float64 rows) of the vectors of dimension d (the most common in the batch if None) that are finite, complete and not zero.
+
+    Rows come times a power of two that puts their largest component near 1, which leaves
+    cosines as they are and keeps squares from under- and overflowing.
+    """
     sizes = np.array([-1 if s is None else s for s in pa.compute.list_value_length(column).to_pylist()])
     if d is None:
         good = sizes[sizes > 0]
@@ -66,10 +70,9 @@ def rows_of(column, d: int | None) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros((0, d or 0))
     flat = column.take(pa.array(at)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
     x = np.array(flat, float).reshape(len(at), d)
-    with np.errstate(over="ignore", invalid="ignore"):
-        n = np.einsum("ij,ij->i", x, x)
-    ok = np.isfinite(n) & (n > 0)
-    return at[ok], x[ok]
+    top = np.abs(x).max(axis=1)
+    ok = np.isfinite(top) & (top > 0)
+    return at[ok], np.ldexp(x[ok], -np.frexp(top[ok])[1][:, None])
 
 
 def scan(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int, own: int, eps: float = EPS, columns: int = COLUMNS) -> np.ndarray:

@@ -231,10 +231,6 @@ def by_block(dealt: DataFrame) -> DataFrame:
     return dealt.repartition(partitions(dealt.sparkSession), "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
 
 
-def blocks(members: DataFrame, size: int) -> DataFrame:
-    return by_block(chunked(members, size))
-
-
 class Union:
     """Disjoint sets over 0..n-1."""
 

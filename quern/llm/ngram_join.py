@@ -132,7 +132,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: floa
             got = [(i, s) for i, w in zip(some.column(0).to_pylist(), words_of(some.column(1).to_pylist()), strict=True) if i is not None and len(s := shingles(w, n))]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in got], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for _, s in got], pa.binary()), pa.array([C.pack_sorted(s) for _, s in got], pa.binary())], schema=sets)
 
-    grams = docs.mapInArrow(collect, "node long, key binary, grams binary").join(inside, "node").join(classes, ["node", "key"]).dropDuplicates(["node", "key"])
+    dealt = C.chunked(inside, block).join(classes.withColumnRenamed("key", "of"), "node")
+    grams = docs.mapInArrow(collect, "node long, key binary, grams binary").join(dealt, "node").where("key = of").dropDuplicates(["node", "key", "root", "lo", "hi"])
     linked = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
     def verify(batches):
@@ -164,8 +165,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, recall: floa
                 ], schema=linked,
             )
 
-    shaped = C.blocks(grams.select("root", "node", "grams", "weight"), block).select("root", "node", "grams", "weight", "lo", "hi", "half")
+    shaped = C.by_block(grams.select("root", "node", "grams", "weight", "lo", "hi", "half"))
     found = C.materialize(shaped.mapInArrow(verify, "a long, b long, links long"), "links")
+    C.discard(inside)
     groups = C.components(found.where("b is not null").select("a", "b"))
     links = found.where("links is not null").groupBy("a").agg(F.sum("links").alias("links"))
     of = classes.join(groups, "node", "left").join(links.withColumnRenamed("a", "node"), "node", "left")

@@ -93,7 +93,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, win
 
     def task(batches):
         trim()
-        ids_of = _caches.setdefault(tokenizer, ChunkIds(tokenizer))
+        if tokenizer not in _caches:
+            _caches[tokenizer] = ChunkIds(tokenizer)
+        ids_of = _caches[tokenizer]
         base = TaskContext.get().partitionId() << 36
         end = np.array([end_id], np.uint32)
         keys, held, n, used = [], [], 0, 0

@@ -1,7 +1,8 @@
 """Secret scanning with a random forest against false positives.
 
-Candidates are runs of at least 16 key characters that hold a digit or mix cases.  Each
-is described by its length and characters, by how likely its letter transitions are in
+Candidates are runs of at least 16 key characters that hold a digit or mix cases, and
+whatever unbroken value of 6 characters or more a key word and a separator introduce
+(password = "...").  Each is described by its length and characters, by how likely its letter transitions are in
 the corpus's words, by how much of it dictionary words cover, by the words before it and
 what sets it off, and by its document's path; a random forest trained on labelled
 findings tells secrets from hashes, identifiers, placeholders and long words.
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.token_counts import frequent, summary
+from quern.session import shared_path
 
 MOST_LABELLED = 20_000
 MADE = 3000
@@ -39,6 +41,7 @@ FOUND_SQL = "doc_id long, start long, length int, candidate string, features arr
 #: Words that come before secrets, and before what looks like them.
 KEYS = frozenset("key apikey api_key token access_token auth_token secret client_secret password passwd pwd credential credentials auth authorization bearer private_key access_key secret_key".split())
 OTHERS = frozenset("commit sha sha1 sha256 md5 hash digest fingerprint checksum integrity uuid guid id etag revision rev version build example sample placeholder test trace request session isbn doi blob tree parent merge".split())
+VALUE = re.compile(rf"(?i)(?:{'|'.join(sorted(KEYS, key=lambda k: (-len(k), k)))})[\"'`]?\s{{0,8}}[:=]\s{{0,8}}[\"'`]?([^\s\"'`,;<>(){{}}]{{6,}})")
 SAMPLES = re.compile(r"(^|[/_.-])(test|tests|spec|example|examples|fixture|fixtures|mock|docs?)([/_.-]|$)", re.IGNORECASE)
 
 
@@ -93,15 +96,26 @@ def describe(text: str, start: int, end: int, path: str, language: Language) ->
         language.likelihood(s), language.covered(s), switches, steps,
         float(any(w in KEYS or w.rpartition("_")[2] in KEYS for w in near)), float(any(w in OTHERS for w in near)),
         float(tail[-1:] in ("=", ":")), float(before[-1:] in ("\"", "'", "`")), float(bool(re.search(r"(://|[/\\?&#])\S*$", before))),
-        float(bool(SAMPLES.search(path))), float("=" in s[:-2] or s.count("-") == 4 or "/" in s),
+        float(bool(SAMPLES.search(path))), float("=" in s[:-2] or s.count("-") == 4 or "/" in s), float(n < 16), len(counts) / n,
     ]
 
 
 def candidates(text: str):
+    """(start, end) in order; a value after a key word holds the runs inside it."""
+    values = [m.span(1) for m in VALUE.finditer(text)]
+    runs = []
     for m in CANDIDATE.finditer(text):
         s = m.group()
         if any(c.isdigit() for c in s) or not (s.islower() or s.isupper() or s[1:].islower()):
-            yield m.start(), m.end()
+            runs.append(m.span())
+    at = 0
+    for a, b in runs:
+        while at < len(values) and values[at][1] <= a:
+            yield values[at]
+            at += 1
+        if at == len(values) or values[at][0] >= b:
+            yield a, b
+    yield from values[at:]
 
 
 def made_findings(n: int = MADE, seed: int = 5) -> list[tuple[str, int, int, str, int]]:
@@ -117,22 +131,24 @@ def made_findings(n: int = MADE, seed: int = 5) -> list[tuple[str, int, int, str
         if i % 2:
             s = r.choice((
                 lambda: take(hex_, r.choice((32, 40, 64))), lambda: take(every, r.randint(20, 48)), lambda: take(every + "+/", r.randint(38, 42)) + "=",
+                lambda: r.choice(("", "p", "Q")) + take(every + "!@#$%^&*.?_-", r.randint(8, 14)) + r.choice(("!", "7", "#")), lambda: take(low, r.randint(18, 30)),
                 lambda: "AKIA" + take(every[:26] + every[-10:], 16), lambda: r.choice(("ghp_", "glpat-", "xoxb-", "sk_live_")) + take(every, 32), lambda: take(low + "0123456789", r.randint(24, 40)),
             ))()
             key = r.choice(sorted(KEYS))
-            before = r.choice((f'{key} = "', f"{key}: ", f"{key}='", f"{key}=", f'"{key}": "', f"{key.upper()}=", f"{key} "))
+            plain = any(c.isdigit() for c in s) and len(s) >= 16 and all(c.isalnum() or c in "_+/-=" for c in s)  # found without a separator too
+            before = r.choice((f'{key} = "', f"{key}: ", f"{key}='", f"{key}=", f'"{key}": "', f"{key.upper()}=", *([f"{key} "] if plain else [])))
             path = r.choice(("src/config.py", "settings.env", "deploy.yaml", "src0", "app/main.js", ""))
         else:
-            kind = r.randrange(8)
+            kind = r.randrange(9)
             s = (
                 take(hex_, r.choice((32, 40, 64))), take(hex_.upper(), 40), str(uuid.UUID(int=r.getrandbits(128))), "_".join(word() for _ in range(4)) + take("0123456789", 2),
                 r.choice(("your_api_key_goes_here0", "xxxxxxxxxxxxxxxxxxxx1", "0000000000000000000000", "abcdefghijklmnop123456", "1234567890123456789")), word().title() + word().title() + word().title() + word() + "2", base64.b64encode(" ".join(word() for _ in range(6)).encode()).decode().rstrip("="),
-                take("0123456789", r.randint(16, 20)),
+                take("0123456789", r.randint(16, 20)), r.choice(("changeme", "required", "os.environ", "${PASSWORD}", "********", "process.env.KEY", "undefined", "password", "example")),
             )[kind]
             other = r.choice(sorted(OTHERS))
-            before = r.choice((f"{other} ", f"{other}: ", f"{other}=", "", "https://example.com/a/", "see ")) if kind != 4 else r.choice((f'{r.choice(sorted(KEYS))} = "', ""))
+            before = r.choice((f"{other} ", f"{other}: ", f"{other}=", "", "https://example.com/a/", "see ")) if kind not in (4, 8) else f'{r.choice(sorted(KEYS))} = "' if kind == 8 or r.random() < 0.5 else ""
             path = r.choice(("tests/fixtures/a.py", "docs/readme.md", "src0", "package-lock.json", "src/lib.rs", ""))
-        if len(s) < 16:
+        if len(s) < 16 and not i % 2 and kind != 8:
             s += take(low, 16 - len(s)) + "1"
         text = f"{lead} {before}"
         out.append((f"{text}{s}{chr(34) if before.endswith(chr(34)) else ''} {tail}", len(text), len(text) + len(s), path, i % 2))
@@ -140,12 +156,15 @@ def made_findings(n: int = MADE, seed: int = 5) -> list[tuple[str, int, int, str
 
 
 def fit(spark: SparkSession, language: Language, labelled: list[tuple[str, int, int, str, int]], seed: int = 3) -> RandomForestClassificationModel:
-    """A forest on labelled findings; more than MOST_LABELLED are refused."""
-    if len(labelled) > MOST_LABELLED:
-        raise ValueError(f"more than {MOST_LABELLED} labelled findings")
+    """A forest on labelled findings; none, or more than MOST_LABELLED, are refused."""
+    if not 0 < len(labelled) <= MOST_LABELLED:
+        raise ValueError(f"{len(labelled)} labelled findings; from 1 to {MOST_LABELLED} are fitted on")
     rows = pd.DataFrame({"features": [describe(t, a, b, p, language) for t, a, b, p, _ in labelled], "label": [float(x[-1]) for x in labelled]})
     frame = spark.createDataFrame(rows, "features array<double>, label double").coalesce(1).select(array_to_vector("features").alias("features"), "label")
-    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, featuresCol="features", labelCol="label").fit(frame)
+    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, featuresCol="features", labelCol="label").fit(frame)
+    path = shared_path(spark, "forest")
+    model.write().save(path)  # a fitted model's summary holds its session; a loaded one has none
+    return RandomForestClassificationModel.load(path)
 
 
 def scan(docs: DataFrame, labelled: list[tuple[str, int, int, str, int]] | None = None, threshold: float = 0.5) -> DataFrame:
@@ -159,7 +178,7 @@ def scan(docs: DataFrame, labelled: list[tuple[str, int, int, str, int]] | None
     path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), path.alias("path"))
     counts = dict(frequent(docs, lambda texts, k: summary(texts, words_of, k), WORDS))
-    model = fit(spark, Language(counts), labelled or made_findings())
+    model = fit(spark, Language(counts), made_findings() if labelled is None else labelled)
     shared = spark.sparkContext.broadcast(counts)
     opened: dict = {}
 

@@ -74,7 +74,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http + (payload if refers_to is None else b"")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_name(page_id)}", f"WARC-Date: {date}", f"WARC-Target-URI: {json.dumps(url) if url and re.search(r'[\x00-\x20]', url) else url or ''}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_name(page_id)}", f"WARC-Date: {date}", f"WARC-Target-URI: {json.dumps(url) if url and re.search(r'[\x00-\x20]|^\"', url) else url or ''}",
         f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}",
     ]
     if refers_to is not None:
@@ -246,7 +246,8 @@ def read(captures: DataFrame, folder: str, top: list[tuple[bytes, str, str]]) ->
                     if head["WARC-Type"] == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
                         raise ValueError(f"{where}: the payload isn't what its record says")
                     refers = _page(head["WARC-Refers-To"]) if "WARC-Refers-To" in head else None
-                    for c, v in zip(cols, (_page(head["WARC-Record-ID"]), size, digest, head["WARC-Type"], refers, head["WARC-Target-URI"]), strict=True):
+                    url = head["WARC-Target-URI"]
+                    for c, v in zip(cols, (_page(head["WARC-Record-ID"]), size, digest, head["WARC-Type"], refers, json.loads(url) if url.startswith('"') else url), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ARROW, strict=True)], schema=ARROW)
 
