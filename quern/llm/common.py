@@ -48,8 +48,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def trim() -> None:
-    """Give memory that a worker's earlier tasks have freed back to the system; called as tasks begin."""
+_kept: dict = {}
+
+
+def kept(key, make):
+    """An object that a worker keeps from task to task; it keeps one, the last asked for."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def trim(keep=None) -> None:
+    """Give memory that a worker's earlier tasks have freed, or that kept() holds for other keys, back to the system; called as tasks begin."""
+    if keep not in _kept:
+        _kept.clear()
     pa.default_memory_pool().release_unused()
     if _libc is not None:
         _libc.malloc_trim(0)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import trim
+from quern.llm.common import kept, trim
 from quern.llm.pieces import ChunkIds
 from quern.llm.shingles import parts
 
@@ -32,7 +32,6 @@ LENGTH = 4096
 WINDOW = 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 ARROW = pa.schema([(name, pa.int64()) for name in [f.split()[0] for f in SCHEMA.split(", ")]])
-_caches: dict[str, ChunkIds] = {}
 
 
 def capacities(total: int, length: int) -> list[int]:
@@ -92,10 +91,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, win
         raise ValueError("length is a power of two")
 
     def task(batches):
-        trim()
-        if tokenizer not in _caches:
-            _caches[tokenizer] = ChunkIds(tokenizer)
-        ids_of = _caches[tokenizer]
+        trim(("ids", tokenizer))
+        ids_of = kept(("ids", tokenizer), lambda: ChunkIds(tokenizer))
         base = TaskContext.get().partitionId() << 36
         end = np.array([end_id], np.uint32)
         keys, held, n, used = [], [], 0, 0
