@@ -30,6 +30,7 @@ from quern.llm.shingles import parts
 
 LENGTH = 4096
 WINDOW = 1 << 20
+CHUNKS = 300_000  # that a worker keeps
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 ARROW = pa.schema([(name, pa.int64()) for name in [f.split()[0] for f in SCHEMA.split(", ")]])
 
@@ -92,7 +93,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, win
 
     def task(batches):
         trim(("ids", tokenizer))
-        ids_of = kept(("ids", tokenizer), lambda: ChunkIds(tokenizer))
+        ids_of = kept(("ids", tokenizer), lambda: ChunkIds(tokenizer, CHUNKS))
         base = TaskContext.get().partitionId() << 36
         end = np.array([end_id], np.uint32)
         keys, held, n, used = [], [], 0, 0
