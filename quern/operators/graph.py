@@ -224,7 +224,7 @@ class Graph:
         state = self.vertices.select("id", F.col("id").alias("label"))
         for _ in range(steps):
             votes = both.join(state.withColumnRenamed("id", "to"), "to").groupBy("id", "label").agg(F.count("*").alias("n"))
-            best = votes.groupBy("id").agg(F.max(F.struct("n", (-F.col("label")).alias("minus"))).alias("m")).select("id", (-F.col("m.minus")).alias("new"))
+            best = votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("votes"), "label")).alias("m")).select("id", F.col("m.label").alias("new"))
             state = state.join(best, "id", "left").select("id", F.coalesce("new", "label").alias("label")).checkpoint()
         return state
 

@@ -69,3 +69,8 @@ def test_generators(spark):
     assert g.grid(spark, 3, 4).count() == 17 and g.star(spark, 5).count() == 4
     assert g.rmat(spark, 4, 50).where("src < 16 and dst < 16 and src >= 0").count() == 50
     assert g.log_normal(spark, 10).where("dst between 0 and 9").count() > 0
+
+
+def test_label_propagation_of_text_ids(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y")], "src string, dst string")
+    assert {r.id: r.label for r in g.Graph.from_edges(e).label_propagation(1).collect()} == {"a": "b", "b": "a", "c": "b", "x": "y", "y": "x"}
