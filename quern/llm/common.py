@@ -11,6 +11,7 @@ so no reduce partition grows with a key's frequency.
 from __future__ import annotations
 
 import ctypes
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,26 @@ from quern.session import remove, shared_dir, shared_path
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession):
+    """Spark drops an action's shuffle files as it ends, rather than when the driver next collects garbage."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write to the shared folder and read back."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quern_path = path
     return out
