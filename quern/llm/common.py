@@ -139,6 +139,7 @@ def unpack(blob: bytes, kind) -> np.ndarray:
 
 def split_by(part: np.ndarray, n: int):
     """(partition, positions) for every partition that has any; positions keep their order."""
+    part = part.astype(np.uint16) if n < 1 << 16 else part  # so narrow a number is sorted by its digits
     order = np.argsort(part, kind="stable")
     ends = np.searchsorted(part[order], np.arange(n + 1))
     for p in range(n):
