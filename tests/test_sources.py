@@ -1,5 +1,11 @@
 """Sources, sinks, streams, relational operators and the command line."""
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
+import pyspark
 import pytest
 
 from quern.cli import main
@@ -7,6 +13,8 @@ from quern.operators import relational as r
 from quern.sources import files
 from quern.streaming import counts
 
+ROOT = Path(__file__).resolve().parent.parent
+
 
 def test_edge_files(spark, tmp_path):
     (tmp_path / "e.txt").write_text("# head\n1 2\n\n 2\t3 7\n")
@@ -55,6 +63,30 @@ def test_jdbc_and_tables(spark):
     assert files.jdbc(spark, url, "t", predicates=['"k" < 5', '"k" >= 15'], **how).count() == 10
 
 
+def test_jdbc_snapshot_is_read_by_other_processes(spark, tmp_path):
+    rows = [(i, None if i % 7 == 0 else "" if i % 7 == 1 else f"é'\n{i}", 10**12 + i if i % 5 else None, i % 2 == 0, i / 4) for i in range(2500)]
+    url = files.derby_snapshot(spark.createDataFrame(rows, "k int, s string, n bigint, b boolean, x double").repartition(3), "t")
+    got = files.jdbc(spark, url, "t", column="k", low=0, high=2500, parts=4, driver=files.DERBY)
+    assert got.dtypes == [("k", "int"), ("s", "string"), ("n", "bigint"), ("b", "boolean"), ("x", "double")]
+    assert sorted(map(tuple, got.collect())) == rows
+    code = """if 1:
+        import sys
+        from pyspark.sql import SparkSession
+        import __spark_entry__
+        s = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.executor.memory", "512m").config("spark.checkpoint.dir", sys.argv[1]).config("spark.ui.enabled", "false").getOrCreate()
+        print(sorted(map(tuple, __spark_entry__.queries()["source_jdbc"](s, sys.argv[2]).repartition(2).collect())))
+    """
+    shared, data = spark.conf.get("spark.checkpoint.dir"), "/root/testdata/sf0.001"
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "SPARK_"))}
+    for p in Path(pyspark.__file__).parent.iterdir():  # a home of its own: the workers' folders go there
+        (tmp_path / p.name).symlink_to(p)
+    (tmp_path / "work").is_symlink() and (tmp_path / "work").unlink()
+    env["SPARK_HOME"] = str(tmp_path)
+    ran = subprocess.run([sys.executable, "-c", code, f"file://{shared}/two processes", data], cwd=ROOT, env=env, capture_output=True, text=True, timeout=180)
+    nations = spark.read.parquet(f"{data}/nation*").select("n_nationkey", "n_name").collect()
+    assert ran.returncode == 0 and ran.stdout.strip().endswith(str(sorted([tuple(r) for r in nations] * 2))), ran.stderr[-3000:]
+
+
 def test_saved_tables(spark, tmp_path):
     spark.sql(f"CREATE TABLE saved (k INT, s STRING) USING parquet LOCATION '{tmp_path}/saved'")
     try:
