@@ -513,3 +513,40 @@ def test_large_groups_of_lines(spark):
     rows += [(200 + i, " ".join(base[:4] + [f"y{i}{j}" for j in range(12)])) for i in range(40)]  # meet the others at a run only
     got = {(x.doc_id) for x in line_dedup.repeated(spark.createDataFrame(rows, "doc_id long, text string"), block=16).collect()}
     assert got == {d for d, _ in brute_lines(rows).items()} and 0 < len(got) < 150
+
+
+def test_line_clusters_hold_a_line_once(spark):
+    """Near copies with edits anywhere meet at many runs in many different groups; chance meetings at a run go."""
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(40)]
+    rows = []
+    for i in range(300):
+        a = list(base)
+        for at in r.sample(range(40), 4):
+            a[at] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(a)))
+    rows += [(1000 + i, " ".join([f"z{i}{j}" for j in range(70)] + base[:4])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    met = common.materialize(line_dedup.candidates(df, 0.8, 5), "met")
+    words = common.materialize(line_dedup.words_of_lines(df, line_dedup.occurrences(df, 5), 5), "words")
+    got = line_dedup.clusters(met, words, 0.8).collect()
+    near = {int(line_dedup.line_keys(w, np.array([len(w)]), np.array([0]))[0].view(np.int64)[0]) for w in (shingles.word_hashes(t) for d, t in rows if d < 300)}
+    assert sorted(x.node for x in got) == sorted(near) and {x.n for x in got} == {300}
+    assert met.count() > 5 * len(got)
+    assert {x.doc_id for x in line_dedup.repeated(df, block=64).collect()} == set(range(1, 300)) == {x.doc_id for x in line_dedup.repeated(df).collect()}
+
+
+def test_word_bits_refuse_no_similar_lines():
+    r = np.random.default_rng(12)
+    lines = []
+    for n in (5, 20, 60, 120, 127, 129, 150, 160, 400):
+        a = r.integers(2, 1 << 32, n).astype(np.uint32)
+        for edits in (0, n // 10, n // 5):
+            b = a.copy()
+            b[r.permutation(n)[:edits]] = r.integers(2, 1 << 32, edits)
+            lines += [b, b[: max(1, n - (n // 5 - edits))]]
+    size = np.array([len(x) for x in lines])
+    i, j = np.triu_indices(len(lines), 1)
+    may = line_dedup.may_be_similar(size, *line_dedup.both_bits(np.concatenate(lines), size), i, j, 0.8)
+    same = np.array([line_dedup.similar(lines[a], lines[b], 0.8) for a, b in zip(i, j)])
+    assert same.sum() > 50 and may[same].all() and may.sum() < 3 * same.sum()
