@@ -550,3 +550,26 @@ def test_word_bits_refuse_no_similar_lines():
     may = line_dedup.may_be_similar(size, *line_dedup.both_bits(np.concatenate(lines), size), i, j, 0.8)
     same = np.array([line_dedup.similar(lines[a], lines[b], 0.8) for a, b in zip(i, j)])
     assert same.sum() > 50 and may[same].all() and may.sum() < 3 * same.sum()
+
+
+def test_line_clusters_over_many_batches(spark, monkeypatch):
+    """A task that holds only part of its groups at a time finds the same clusters."""
+    r = random.Random(9)
+    rows = []
+    for g in range(40):
+        base = [f"g{g}w{i}" for i in range(12)]
+        for k in range(1 + g % 5):
+            rows.append((10 * g + k, " ".join(base[:k] + [f"x{r.randrange(10**6)}"] + base[k + 1 :])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    met = common.materialize(line_dedup.candidates(df, 0.8, 5), "met")
+    words = common.materialize(line_dedup.words_of_lines(df, line_dedup.occurrences(df, 5), 5), "words")
+    want = sorted(map(tuple, line_dedup.clusters(met, words, 0.8).collect()))
+    monkeypatch.setattr(line_dedup, "CHUNK", 40)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        got = sorted(map(tuple, line_dedup.clusters(met, words, 0.8).collect()))
+    finally:
+        spark.conf.set(name, before)
+    assert got == want and len(want) == sum(1 + g % 5 for g in range(40) if g % 5)
