@@ -12,13 +12,18 @@ P(x) = (c(x) + 0.1) / (N + 0.1 (V + 1)).  Each token is scored in the longest
 suffix of its history that is a state.
 
 Scale.  Counts cover every training document.  n-grams are counted through blob
-shuffles, combined per map batch.  Only two things are broadcast, both of fixed
-size: the `VOCABULARY` most frequent words, and a Bloom filter of 2^27 bits over
-the tree's keys, which decides what is asked, never what is answered.  The tree
+shuffles, combined per map batch.  Only things of fixed size are broadcast: the
+`VOCABULARY` most frequent words, and Bloom filters of 2^27 bits over the other words
+and the tree's keys, which decide what is asked, never what is answered.  The tree
 itself grows with the corpus and stays partitioned: every batch of documents sends
 the keys that pass the filter to their partitions and gets the values back.  Words
-are known by 64-bit hashes.  Words outside the vocabulary (rarer than all in it) belong to no context; their base
-probabilities come from a join on the word.
+are known by 64-bit hashes.
+
+The vocabulary is a fast tier, not a bound: n-grams of its words have keys of three
+20-bit ids.  n-grams with another word that occurs often enough to be in one (the tail)
+have 62-bit hashes as keys, and the counts of tail words come from joins on the word.
+Base probabilities of words outside the vocabulary come from such a join too, and are a
+factor of what is predicted; so probabilities listed for such symbols are in units of them.
 """
 
 from __future__ import annotations
@@ -38,6 +43,7 @@ from quern.llm.shingles import parts as cut
 
 BITS = 20
 VOCABULARY = (1 << BITS) - 2
+TAIL = 1 << BITS  # from here ids are places among a batch's own tail words
 LEAST = 3  # an n-gram seen less often is not listed
 DISCOUNT = 0.6
 GAIN = 1.0
@@ -46,10 +52,12 @@ BATCH = 250_000  # tokens a batch
 FLUSH = 1_500_000  # keys that a map task combines at a time
 SHARE = 6_000_000  # keys a reduce partition
 CONTEXT = np.uint64(1 << 62)  # marks the key of a context's weight
+HASHED = np.uint64(1 << 63)  # marks keys with a tail word
+NONE = np.zeros(0, np.uint64)
 _vocab: dict[int, tuple] = {}
 
-TOK = pa.schema([("batch", pa.int64()), ("w", pa.int64()), ("row", pa.int32()), ("n", pa.int64()), ("docs", pa.binary()), ("nulls", pa.binary()), ("flags", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())])
-TOK_SQL = "batch long, w long, row int, n long, docs binary, nulls binary, flags binary, sizes binary, ids binary"
+TOK = pa.schema([("batch", pa.int64()), ("w", pa.int64()), ("row", pa.int32()), ("n", pa.int64()), ("docs", pa.binary()), ("nulls", pa.binary()), ("flags", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary()), ("tail", pa.binary())])
+TOK_SQL = "batch long, w long, row int, n long, docs binary, nulls binary, flags binary, sizes binary, ids binary, tail binary"
 BLOB = pa.schema([("pid", pa.int32()), ("batch", pa.int64()), ("keys", pa.binary()), ("vals", pa.binary())])
 BLOB_SQL = "pid int, batch long, keys binary, vals binary"
 
@@ -90,18 +98,23 @@ def word_counts(docs: DataFrame, parts: int) -> DataFrame:
     return docs.where("train").select("text").mapInArrow(gather, BLOB_SQL).repartitionById(parts, "pid").mapInArrow(total, "w long, n long")
 
 
-def vocabulary(counts: DataFrame) -> pa.Table:
-    """(w, n) of at most VOCABULARY words, most frequent first; a word's id is its place from 1."""
+def vocabulary(counts: DataFrame, least: int) -> tuple[pa.Table, DataFrame | None]:
+    """(w, n) of at most VOCABULARY words, most frequent first, and of the tail: all others that occur `least` times, if any do.
+
+    A word's id is its place from 1.
+    """
     level = F.floor(F.log2("n") * 16)
-    bins = sorted(counts.groupBy(level.alias("b")).count().collect(), reverse=True)
-    total, least = 0, 1 << 40
-    for b, n in bins:
+    bins = sorted(counts.groupBy(level.alias("b")).agg(F.count("*"), F.count_if((F.col("n") >= least) & (F.col("w") != 0))).collect(), reverse=True)
+    total, lowest, rest = 0, 1 << 40, 0
+    for b, n, enough in bins:
         total += n
         if total > VOCABULARY:
-            break
-        least = b
-    top = counts.where((level >= F.lit(least)) & (F.col("n") >= LEAST) & (F.col("w") != 0)).toArrow()
-    return top.take(pc.sort_indices(top, [("n", "descending"), ("w", "ascending")]))
+            rest += enough
+        else:
+            lowest = b
+    words = counts.where((F.col("n") >= least) & (F.col("w") != 0))
+    top = words.where(level >= F.lit(lowest)).toArrow()
+    return top.take(pc.sort_indices(top, [("n", "descending"), ("w", "ascending")])), words.where(level < F.lit(lowest)) if rest else None
 
 
 def lookup(b) -> tuple[np.ndarray, np.ndarray]:
@@ -123,8 +136,12 @@ def ids_of(h: np.ndarray, words: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.where(words[at] == q, ids[at], np.uint32(0)).astype(np.uint32)[back]
 
 
-def tokenized(docs: DataFrame, vocab, end: int) -> DataFrame:
-    """Batches of id arrays, and a row for each rare word of each document of a batch."""
+def tokenized(docs: DataFrame, vocab, end: int, others=None) -> DataFrame:
+    """Batches of id arrays, and a row for each rare word of each document of a batch.
+
+    Words that pass the filter `others` have ids from TAIL: TAIL and the word's place in the batch's `tail`.
+    """
+    opened: dict = {}
 
     def task(batches):
         words, ids = lookup(vocab)
@@ -142,12 +159,20 @@ def tokenized(docs: DataFrame, vocab, end: int) -> DataFrame:
             row, w = row[order], w[order]
             first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (w[1:] != w[:-1])])) if len(w) else np.zeros(0, np.int64)
             times = np.diff(np.append(first, len(w)))
+            tail = NONE
+            if others is not None:
+                if not opened:
+                    opened["f"] = C.unpack(others.value, np.uint8)
+                at = np.flatnonzero(found == 0)
+                at = at[C.may_hold(opened["f"], h[at])]
+                tail, back = np.unique(h[at], return_inverse=True)
+                found[at] = (TAIL + back).astype(np.uint32)
             whole = np.insert(found, np.cumsum(size), np.uint32(end))
             k = len(first)
             blank = pa.nulls(k, pa.binary())
             cols = [
                 np.full(k + 1, serial), pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(w[first].view(np.int64))]), np.append(len(size), row[first]).astype(np.int32), np.append(0, times),
-                *(pa.concat_arrays([pa.array([C.pack(x)], pa.binary()), blank]) for x in (np.array([x or 0 for x in names], np.int64), np.array([x is None for x in names], np.uint8), np.array(flags, np.uint8), (size + 1).astype(np.uint32), whole)),
+                *(pa.concat_arrays([pa.array([C.pack(x)], pa.binary()), blank]) for x in (np.array([x or 0 for x in names], np.int64), np.array([x is None for x in names], np.uint8), np.array(flags, np.uint8), (size + 1).astype(np.uint32), whole, tail)),
             ]
             serial += 1
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, np.ndarray) else c for c, f in zip(cols, TOK, strict=True)], schema=TOK)
@@ -181,12 +206,33 @@ def shifted(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return a, b
 
 
-def ngrams(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the bigrams (below 2^40) and trigrams that end at each token; 0 where a word is rare or missing."""
+def hashed(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return C.mix(C.mix(p + C.MIX) + q) >> np.uint64(2) | HASHED
+
+
+def alone(words: np.ndarray) -> np.ndarray:
+    """The keys of the weights of contexts of one tail word."""
+    return C.mix(words ^ C.MIX) | HASHED | CONTEXT
+
+
+def ngrams(ids: np.ndarray, sizes: np.ndarray, tail: np.ndarray = NONE) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the bigrams (below 2^40, or hashed) and trigrams that end at each token; 0 where a word is rare or missing."""
     ids = ids.astype(np.uint64)
     a, b = shifted(ids, sizes)
     two = np.where((b > 0) & (ids > 0), b << np.uint64(BITS) | ids, np.uint64(0))
     three = np.where((a > 0) & (two > 0), a << np.uint64(2 * BITS) | two, np.uint64(0))
+    if len(tail):
+        big = ids >= TAIL
+
+        def code(x):
+            x = x.copy()
+            x[x >= TAIL] = tail[(x[x >= TAIL] - np.uint64(TAIL)).astype(np.int64)]
+            return x
+
+        at = np.flatnonzero((two > 0) & (big | (b >= TAIL)))
+        two[at] = hashed(code(b[at]), code(ids[at]))
+        at = np.flatnonzero((three > 0) & (big | (b >= TAIL) | (a >= TAIL)))
+        three[at] = hashed(two[at - 1], code(ids[at]))
     return two, three
 
 
@@ -242,7 +288,7 @@ def count_ngrams(tok: DataFrame, parts: int, least: int, base, filter_=None) ->
             for flags, sizes, ids in zip(*(b.column(c).to_pylist() for c in ("flags", "sizes", "ids")), strict=True):
                 flags, sizes, ids = C.unpack(flags, np.uint8), C.unpack(sizes, np.uint32).astype(np.int64), C.unpack(ids, np.uint32)
                 train = np.repeat(flags & 1, sizes).astype(bool)
-                two, three = ngrams(ids, sizes)
+                two, three = ngrams(np.where(ids < TAIL, ids, np.uint32(0)), sizes)
                 if filter_ is None:
                     k = two[(two > 0) & train]
                 else:
@@ -275,11 +321,76 @@ def count_ngrams(tok: DataFrame, parts: int, least: int, base, filter_=None) ->
     return tok.where("w is null").select("flags", "sizes", "ids").mapInArrow(gather, BLOB_SQL).repartitionById(parts, "pid").mapInArrow(total, "key long, n long, c long, p double")
 
 
-def tree(bigrams: DataFrame, trigrams: DataFrame, words: int, discount: float, gain: float, symbol: float) -> tuple[np.ndarray, DataFrame]:
+def count_tail(tok: DataFrame, least: int, filter_=None) -> DataFrame:
+    """count_ngrams() of what has a tail word.
+
+    Bigrams are (key, a, aw, x, xw, n), with the ids of context and symbol, or the tail
+    words that they are; trigrams (key, ctx, suffix, n), with the keys of their bigrams.
+    """
+    names = ("key", "a", "aw", "x", "xw", "n") if filter_ is None else ("key", "ctx", "suffix", "n")
+    out = pa.schema([(c, pa.int64()) for c in names])
+    opened: dict = {}
+
+    def gather(batches):
+        for b in batches:
+            for flags, sizes, ids, tail in zip(*(b.column(c).to_pylist() for c in ("flags", "sizes", "ids", "tail")), strict=True):
+                flags, sizes, ids, tail = C.unpack(flags, np.uint8), C.unpack(sizes, np.uint32).astype(np.int64), C.unpack(ids, np.uint32), C.unpack(tail, np.uint64)
+                if not len(tail):
+                    continue
+                train = np.repeat(flags & 1, sizes).astype(bool)
+                two, three = ngrams(ids, sizes, tail)
+                if filter_ is None:
+                    k, at, n = np.unique(two[some := np.flatnonzero((two >= HASHED) & train)], return_index=True, return_counts=True)
+                    at = some[at]
+                    cols: list = [pa.array(k.view(np.int64))]
+                    for x in (ids[at - 1], ids[at]):
+                        big = x >= TAIL
+                        word = np.where(big, tail[np.where(big, x - np.uint32(TAIL), 0)], np.uint64(0))
+                        cols += pa.array(np.where(big, 0, x).astype(np.int64), mask=big), pa.array(word.view(np.int64), mask=~big)
+                else:
+                    if not opened:
+                        opened["f"] = C.unpack(filter_.value, np.uint8)
+                    some = np.flatnonzero((three >= HASHED) & train)
+                    some = some[C.may_hold(opened["f"], two[some])]
+                    some = some[C.may_hold(opened["f"], two[some - 1])]
+                    k, at, n = np.unique(three[some], return_index=True, return_counts=True)
+                    at = some[at]
+                    cols = [pa.array(x.view(np.int64)) for x in (k, two[at - 1], two[at])]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(n)], schema=out)
+
+    rows = tok.where("w is null").select("flags", "sizes", "ids", "tail").mapInArrow(gather, ", ".join(f"{c} long" for c in names))
+    return rows.groupBy("key").agg(*(F.first(c).alias(c) for c in names[1:-1]), F.sum("n").alias("n")).where(F.col("n") >= least)
+
+
+def tail_bigrams(found: DataFrame, words: DataFrame, base, denominator: float) -> DataFrame:
+    """(key, a, n, c, p, unit) of count_tail()'s bigrams: as count_ngrams() has them, the context (an id, or the negative key of a tail word's weight), and the base probability of a symbol of the tail, else 1."""
+    known = words.select("w", F.col("n").alias("of"))
+
+    def join(df: DataFrame, word: str, name: str) -> DataFrame:
+        there = df.where(F.col(word).isNotNull()).join(known.select(F.col("w").alias(word), F.col("of").alias(name)), word)
+        return there.unionByName(df.where(F.col(word).isNull()).withColumn(name, F.lit(0).cast("long")))
+
+    out = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("n", pa.int64()), ("c", pa.int64()), ("p", pa.float64()), ("unit", pa.float64())])
+
+    def filled(batches):
+        sizes, p0 = base.value
+        for b in batches:
+            b = {f.name: c for f, c in zip(b.schema, b.columns)}
+            a, aw, x = (b[k].fill_null(0).to_numpy() for k in ("a", "aw", "x"))
+            there, symbol = b["aw"].is_valid().to_numpy(zero_copy_only=False), b["xw"].is_valid().to_numpy(zero_copy_only=False)
+            unit = np.where(symbol, (b["xn"].to_numpy() + 0.1) / denominator, 1.0)
+            cols = b["key"], np.where(there, alone(aw.view(np.uint64)).view(np.int64), a), b["n"], np.where(there, b["an"].to_numpy(), sizes[a]), np.where(symbol, unit, p0[x]), unit
+            yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], schema=out)
+
+    return join(join(found, "aw", "an"), "xw", "xn").mapInArrow(filled, "key long, a long, n long, c long, p double, unit double")
+
+
+def tree(bigrams: DataFrame, trigrams: DataFrame, words: int, discount: float, gain: float, symbol: float, tail: tuple[DataFrame, DataFrame] | None = None) -> tuple[np.ndarray, DataFrame]:
     """The weights of one-word contexts by word id (1 where not retained), and (key, value) of all else that scoring looks up.
 
     The values are listed probabilities for bigram and trigram keys, and weights for
-    the keys of two-word contexts.
+    the keys of two-word contexts.  `tail` are tail_bigrams() and count_tail()'s trigrams,
+    with which contexts of one tail word have weights there.
     """
     spark = bigrams.sparkSession
     own = F.col("n") * F.log(F.col("n") / F.col("c") / F.col("p"))
@@ -294,7 +405,13 @@ def tree(bigrams: DataFrame, trigrams: DataFrame, words: int, discount: float, g
         more = F.when((rest > 0) & (F.col("sp") < 1), rest * F.log(rest / F.col("c") / (1 - F.col("sp")))).otherwise(0.0)
         return by.where(F.col("g") + more >= gain * F.col("k")).select(context, (1 - (F.col("sn") - discount * F.col("k")) / F.col("c")).alias("weight"))
 
-    got = retained(bigrams.withColumn("a", F.shiftright("key", BITS)), "a").toArrow()  # a row a word of the vocabulary at most
+    first = bigrams.select(F.shiftright("key", BITS).alias("a"), "n", "c", "p")
+    if tail:
+        single = C.materialize(retained(first.union(tail[0].select("a", "n", "c", "p")), "a"), "single-weights")
+        lone = single.where("a < 0")
+        got = single.where("a >= 0").toArrow()
+    else:
+        got = retained(first, "a").toArrow()  # a row a word of the vocabulary at most
     weight = np.full(words + 1, np.nan, np.float32)
     weight[got["a"].to_numpy()] = got["weight"].to_numpy()
     shared = spark.sparkContext.broadcast(weight)
@@ -302,27 +419,44 @@ def tree(bigrams: DataFrame, trigrams: DataFrame, words: int, discount: float, g
 
     def mixed(batches):
         for b in batches:
-            k, n, c, p = (x.to_numpy() for x in b.columns)
-            w = shared.value[k >> BITS].astype(float)
+            k, n, c, p = (x.to_numpy() for x in b.columns[:4])
+            if b.num_columns > 4:
+                a, own = b.column(4).to_numpy(), b.column(5).fill_null(np.nan).to_numpy()
+                w = np.where(a < 0, own, shared.value[np.maximum(a, 0)])
+            else:
+                w = shared.value[k >> BITS].astype(float)
             own = (n - discount) / c
             listed = ~np.isnan(w) & (n * np.log(n / c / p) >= symbol)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.where(np.isnan(w), 1, w) * p + np.where(listed, own, 0)), pa.array(own, mask=~listed)], schema=schema)
 
-    two = C.materialize(bigrams.mapInArrow(mixed, "key long, n long, p double, listed double"), "bigrams")
-    three = trigrams.select("key", "n", F.shiftright("key", BITS).alias("ctx"), F.col("key").bitwiseAND(F.lit((1 << 2 * BITS) - 1)).alias("suffix"))
-    three = three.join(two.select(F.col("key").alias("suffix"), "p"), "suffix").join(two.select(F.col("key").alias("ctx"), F.col("n").alias("c")), "ctx").select("key", "ctx", "n", "c", "p")
+    layout = "key long, n long, p double, listed double"
+    two = bigrams.mapInArrow(mixed, layout)
+    if tail:
+        more = tail[0].join(lone, "a", "left").select("key", "n", "c", "p", "a", F.col("weight").cast("double").alias("weight")).mapInArrow(mixed, layout)
+        two = two.withColumn("unit", F.lit(1.0)).unionByName(more.join(tail[0].select("key", "unit"), "key"))
+    two = C.materialize(two, "bigrams")
+
+    def attached(g: DataFrame, *more: str) -> DataFrame:
+        return g.join(two.select(F.col("key").alias("suffix"), "p", *more), "suffix").join(two.select(F.col("key").alias("ctx"), F.col("n").alias("c")), "ctx").select("key", "ctx", "n", "c", "p", *more)
+
+    three = attached(trigrams.select("key", "n", F.shiftright("key", BITS).alias("ctx"), F.col("key").bitwiseAND(F.lit((1 << 2 * BITS) - 1)).alias("suffix")))
+    if tail:
+        three = three.withColumn("unit", F.lit(1.0)).unionByName(attached(tail[1], "unit"))
     three = C.materialize(three, "trigrams")
     C.release(spark)
     pair = C.materialize(retained(three, "ctx"), "weights")
-    listed = three.where(own >= symbol).join(pair, "ctx", "left_semi").select("key", ((F.col("n") - discount) / F.col("c")).cast("float").alias("value"))
-    values = two.where("listed is not null").select("key", F.col("listed").cast("float").alias("value")).union(listed).union(pair.select(F.col("ctx").bitwiseOR(F.lit(1 << 62)).alias("key"), F.col("weight").cast("float").alias("value")))
+    unit = F.col("unit") if tail else F.lit(1.0)
+    listed = three.where(own >= symbol).join(pair, "ctx", "left_semi").select("key", ((F.col("n") - discount) / F.col("c") / unit).cast("float").alias("value"))
+    values = two.where("listed is not null").select("key", (F.col("listed") / unit).cast("float").alias("value")).union(listed).union(pair.select(F.col("ctx").bitwiseOR(F.lit(1 << 62)).alias("key"), F.col("weight").cast("float").alias("value")))
+    if tail:
+        values = values.union(lone.select(F.col("a").alias("key"), F.col("weight").cast("float").alias("value")))
     out = C.materialize(values, "tree")
-    C.discard(two, three, pair)
+    C.discard(two, three, pair, *([single] if tail else []))
     return np.where(np.isnan(weight), np.float32(1), weight), out
 
 
 def wanted(two: np.ndarray, three: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys looked up at each token: its bigram, its trigram, and its two-word context."""
+    """Keys looked up at each token besides its one-word context of the tail: its bigram, its trigram, and its two-word context."""
     context = np.zeros_like(two)
     context[1:] = two[:-1]
     starts = np.cumsum(sizes) - sizes
@@ -345,41 +479,50 @@ def score(docs: DataFrame, discount: float = DISCOUNT, gain: float = GAIN, symbo
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), F.coalesce(rest != 0, F.lit(False)).alias("train"), F.coalesce(rest == 0, F.lit(False)).alias("held"))
     counts = C.materialize(word_counts(docs, C.partitions(spark)), "words")
     n, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = vocabulary(counts)
+    top, rest_words = vocabulary(counts, least)
     sizes = np.append(top["n"].to_numpy(), counts.where("w = 0").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]).astype(np.int64)
     end = len(sizes)  # the end token has the last id
     vocab = spark.sparkContext.broadcast(C.pack(top["w"].to_numpy().view(np.uint64)))
     del top
+    others = None if rest_words is None else spark.sparkContext.broadcast(C.pack(C.key_filter(rest_words.select("w"))))
     C.release(spark)
-    tok = C.materialize(tokenized(docs, vocab, end), "tokens")
+    tok = C.materialize(tokenized(docs, vocab, end, others), "tokens")
     parts = int(min(65_536, max(C.partitions(spark), -(-n // SHARE))))
     denominator = n + 0.1 * (distinct + 1)
     p0 = np.concatenate([[1.0], (sizes + 0.1) / denominator])
     base = spark.sparkContext.broadcast((np.append(0, sizes), p0))
     bigrams = C.materialize(count_ngrams(tok, parts, least, base), "bigrams")
     C.release(spark)
-    frequent = spark.sparkContext.broadcast(C.pack(C.key_filter(bigrams.select("key"))))
+    frequent, tail = bigrams.select("key"), None
+    if rest_words is not None:
+        found = C.materialize(count_tail(tok, least), "tail-counts")
+        more = C.materialize(tail_bigrams(found, rest_words, base, denominator), "tail-bigrams")
+        C.discard(found)
+        frequent = frequent.union(more.select("key"))
+    frequent = spark.sparkContext.broadcast(C.pack(C.key_filter(frequent)))
     trigrams = C.materialize(count_ngrams(tok, parts, least, base, frequent), "trigrams")
+    if rest_words is not None:
+        tail = more, C.materialize(count_tail(tok, least, frequent), "tail-trigrams")
     C.release(spark)
-    w1, values = tree(bigrams, trigrams, end, discount, gain, symbol)
-    C.discard(bigrams, trigrams)
+    w1, values = tree(bigrams, trigrams, end, discount, gain, symbol, tail)
+    C.discard(bigrams, trigrams, *(tail or ()))
     bits = C.key_filter(values.select("key"))
     C.release(spark)
     small = spark.sparkContext.broadcast((C.pack(bits), w1, sizes > 0))
     opened: dict = {}
 
-    def asked_keys(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def asked_keys(ids: np.ndarray, sizes: np.ndarray, tail: np.ndarray) -> np.ndarray:
         """The distinct keys that a batch asks for, in order."""
         if "bits" not in opened:
             opened["bits"] = C.unpack(small.value[0], np.uint8)
-        k = np.concatenate(wanted(*ngrams(ids, sizes), sizes))
+        k = np.concatenate([*wanted(*ngrams(ids, sizes, tail), sizes), alone(tail)])
         k = k[k > 0]
         return np.unique(k[C.may_hold(opened["bits"], k)])
 
     def ask(batches):
         for b in batches:
-            for batch, sz, ids in zip(*(b.column(c).to_pylist() for c in ("batch", "sizes", "ids")), strict=True):
-                k = asked_keys(C.unpack(ids, np.uint32), C.unpack(sz, np.uint32).astype(np.int64))
+            for batch, sz, ids, tail in zip(*(b.column(c).to_pylist() for c in ("batch", "sizes", "ids", "tail")), strict=True):
+                k = asked_keys(C.unpack(ids, np.uint32), C.unpack(sz, np.uint32).astype(np.int64), C.unpack(tail, np.uint64))
                 if len(k):
                     yield blobs(k, None, parts, batch)
 
@@ -416,7 +559,7 @@ def score(docs: DataFrame, discount: float = DISCOUNT, gain: float = GAIN, symbo
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([batch]), pa.array([C.pack(np.packbits(hit))], pa.binary()), pa.array([C.pack(v[at[hit]])], pa.binary())], schema=BLOB)
 
     whole = tok.where("w is null")
-    asked = whole.select("batch", "sizes", "ids").mapInArrow(ask, BLOB_SQL).union(values.mapInArrow(model, BLOB_SQL))
+    asked = whole.select("batch", "sizes", "ids", "tail").mapInArrow(ask, BLOB_SQL).union(values.mapInArrow(model, BLOB_SQL))
     answers = C.materialize(asked.repartitionById(parts, "pid").mapInArrow(answer, BLOB_SQL), "answers")
     del asked
     C.discard(values)
@@ -438,9 +581,9 @@ def score(docs: DataFrame, discount: float = DISCOUNT, gain: float = GAIN, symbo
                     t = rest
                 else:
                     got[p] = hits, v
-            ids_of, nulls, flags, sz, ids = (C.unpack(x, kind) for x, kind in zip(t, (np.int64, np.uint8, np.uint8, np.uint32, np.uint32), strict=True))
+            ids_of, nulls, flags, sz, ids, tail = (C.unpack(x, kind) for x, kind in zip(t, (np.int64, np.uint8, np.uint8, np.uint32, np.uint32, np.uint64), strict=True))
             sz = sz.astype(np.int64)
-            k = asked_keys(ids, sz)
+            k = asked_keys(ids, sz, tail)
             value = np.full(len(k), np.nan)
             for p, at in C.split_by(pid(k, parts), parts):
                 if p in got:
@@ -454,12 +597,17 @@ def score(docs: DataFrame, discount: float = DISCOUNT, gain: float = GAIN, symbo
                 hit = k[at] == q
                 return np.where(hit, v[at], none), hit
 
-            two, three, ctx = wanted(*ngrams(ids, sz), sz)
+            two, three, ctx = wanted(*ngrams(ids, sz, tail), sz)
             _, before = shifted(ids, sz)
+            w1 = weight1[np.where(before < TAIL, before, 0)]
+            if len(tail):
+                at = np.flatnonzero(before >= TAIL)
+                w1[at] = find(alone(tail), 1.0)[0][before[at] - TAIL]
+                ids = np.where(ids < TAIL, ids, np.uint32(0))
             d1, _ = find(two, 0.0)
             w2, state = find(ctx, 1.0)
             d2, _ = find(three, 0.0)
-            p1 = d1 + weight1[before] * p0[ids]
+            p1 = d1 + w1 * p0[ids]
             p = np.where(state, d2 + w2 * p1, p1)
             starts = np.cumsum(sz) - sz
             rare = ids == 0  # p0[0] is 1: what the join on the word gives is added to both
@@ -470,7 +618,7 @@ def score(docs: DataFrame, discount: float = DISCOUNT, gain: float = GAIN, symbo
                 ], schema=out,
             )
 
-    cols = ("docs", "nulls", "flags", "sizes", "ids")
+    cols = ("docs", "nulls", "flags", "sizes", "ids", "tail")
     both = whole.select("batch", F.lit(None).cast("int").alias("pid"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("vals"), *cols).union(answers.select("batch", "pid", "keys", "vals", *(F.lit(None).cast("binary").alias(c) for c in cols)))
     n_batches = whole.count()
     to = max(C.partitions(spark), n_batches // 4)

@@ -500,6 +500,19 @@ def test_lm_models_what_occurs_three_times(spark):
     assert got[train[0]].score > got[train[0]].base_score + 1
 
 
+def test_lm_models_words_beyond_the_vocabulary(spark, docs, monkeypatch):
+    how = {"least": 2, "gain": 0.5, "symbol": 0.2}
+    rows = [(1000 + i, "a b c d" if i % 3 else "a b d c", "en", "s", 1) for i in range(200)]
+    both = docs.where("doc_id is not null").union(spark.createDataFrame(rows, SCHEMA))
+    want = sorted(suffix_tree.score(both, **how).collect())
+    for most in (0, 5, 300):
+        monkeypatch.setattr(suffix_tree, "VOCABULARY", most)
+        got = sorted(suffix_tree.score(both, **how).collect())
+        assert len(got) == len(want)
+        for a, b in zip(got, want):
+            assert a[:5] == b[:5] and a.base_score == pytest.approx(b.base_score) and a.score == pytest.approx(b.score, rel=1e-5)
+
+
 def test_large_groups_of_lines(spark):
     """Chains of near copies in groups of many parts, against brute force."""
     r = random.Random(31)
