@@ -511,20 +511,20 @@ def score(docs: DataFrame, discount: float = DISCOUNT, gain: float = GAIN, symbo
     small = spark.sparkContext.broadcast((C.pack(bits), w1, sizes > 0))
     opened: dict = {}
 
-    def asked_keys(ids: np.ndarray, sizes: np.ndarray, tail: np.ndarray) -> np.ndarray:
-        """The distinct keys that a batch asks for, in order."""
+    def asked_keys(ids: np.ndarray, sizes: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What a batch looks up (wanted(), then a context for each of `tail`), of which 0 is nothing: all keys, and those that pass the filter."""
         if "bits" not in opened:
             opened["bits"] = C.unpack(small.value[0], np.uint8)
         k = np.concatenate([*wanted(*ngrams(ids, sizes, tail), sizes), alone(tail)])
-        k = k[k > 0]
-        return np.unique(k[C.may_hold(opened["bits"], k)])
+        at = np.flatnonzero(k)
+        return k, at[C.may_hold(opened["bits"], k[at])]
 
     def ask(batches):
         for b in batches:
             for batch, sz, ids, tail in zip(*(b.column(c).to_pylist() for c in ("batch", "sizes", "ids", "tail")), strict=True):
-                k = asked_keys(C.unpack(ids, np.uint32), C.unpack(sz, np.uint32).astype(np.int64), C.unpack(tail, np.uint64))
-                if len(k):
-                    yield blobs(k, None, parts, batch)
+                k, at = asked_keys(C.unpack(ids, np.uint32), C.unpack(sz, np.uint32).astype(np.int64), C.unpack(tail, np.uint64))
+                if len(at):
+                    yield blobs(C.distinct(k[at]), None, parts, batch)
 
     def model(batches):
         for b in batches:
@@ -583,32 +583,27 @@ def score(docs: DataFrame, discount: float = DISCOUNT, gain: float = GAIN, symbo
                     got[p] = hits, v
             ids_of, nulls, flags, sz, ids, tail = (C.unpack(x, kind) for x, kind in zip(t, (np.int64, np.uint8, np.uint8, np.uint32, np.uint32, np.uint64), strict=True))
             sz = sz.astype(np.int64)
-            k = asked_keys(ids, sz, tail)
+            every, asked = asked_keys(ids, sz, tail)
+            order = np.argsort(every[asked])
+            asked = asked[order]
+            k = every[asked]
+            new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
+            k, back = k[new], np.cumsum(new) - 1
             value = np.full(len(k), np.nan)
             for p, at in C.split_by(pid(k, parts), parts):
                 if p in got:
                     value[at[np.unpackbits(C.unpack(got[p][0], np.uint8), count=len(at)).astype(bool)]] = C.unpack(got[p][1], np.float32)
-            k, v = k[~np.isnan(value)], value[~np.isnan(value)]
-
-            def find(q, none, k=k, v=v):
-                if not len(k):
-                    return np.full(len(q), none), np.zeros(len(q), bool)
-                at = np.minimum(np.searchsorted(k, q), len(k) - 1)
-                hit = k[at] == q
-                return np.where(hit, v[at], none), hit
-
-            two, three, ctx = wanted(*ngrams(ids, sz, tail), sz)
+            found = np.full(len(every), np.nan)  # nan: not in the tree
+            found[asked] = value[back]
+            d1, d2, w2, own = np.split(found, [len(ids), 2 * len(ids), 3 * len(ids)])
             _, before = shifted(ids, sz)
-            w1 = weight1[np.where(before < TAIL, before, 0)]
+            w1 = weight1[np.where(before < TAIL, before, 0)].astype(float)
             if len(tail):
                 at = np.flatnonzero(before >= TAIL)
-                w1[at] = find(alone(tail), 1.0)[0][before[at] - TAIL]
+                w1[at] = np.where(np.isnan(own), 1.0, own)[before[at] - TAIL]
                 ids = np.where(ids < TAIL, ids, np.uint32(0))
-            d1, _ = find(two, 0.0)
-            w2, state = find(ctx, 1.0)
-            d2, _ = find(three, 0.0)
-            p1 = d1 + w1 * p0[ids]
-            p = np.where(state, d2 + w2 * p1, p1)
+            p1 = np.where(np.isnan(d1), 0.0, d1) + w1 * p0[ids]
+            p = np.where(np.isnan(w2), p1, np.where(np.isnan(d2), 0.0, d2) + w2 * p1)
             starts = np.cumsum(sz) - sz
             rare = ids == 0  # p0[0] is 1: what the join on the word gives is added to both
             yield pa.RecordBatch.from_arrays(

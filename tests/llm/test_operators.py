@@ -586,3 +586,8 @@ def test_line_clusters_over_many_batches(spark, monkeypatch):
     finally:
         spark.conf.set(name, before)
     assert got == want and len(want) == sum(1 + g % 5 for g in range(40) if g % 5)
+
+
+def test_distinct():
+    x = np.random.default_rng(5).integers(0, 1 << 63, 400_000, np.uint64) % np.uint64(300_000)
+    assert (common.distinct(x) == np.array(sorted(set(x.tolist())), np.uint64)).all() and len(common.distinct(x[:0])) == 0
