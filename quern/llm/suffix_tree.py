@@ -273,7 +273,7 @@ def count_ngrams(tok: DataFrame, parts: int, least: int, base, filter_=None) ->
 
     A trigram is counted only where both of its bigrams are frequent, without which it
     can't be.  A bigram has its context's count c and its symbol's base probability p; a
-    trigram has 0.
+    trigram, or what has a tail word, has 0.
     """
     opened: dict = {}
 
@@ -285,10 +285,10 @@ def count_ngrams(tok: DataFrame, parts: int, least: int, base, filter_=None) ->
             return blobs(k, c, parts)
 
         for b in batches:
-            for flags, sizes, ids in zip(*(b.column(c).to_pylist() for c in ("flags", "sizes", "ids")), strict=True):
+            for flags, sizes, ids, tail in zip(*(b.column(c).to_pylist() for c in ("flags", "sizes", "ids", "tail")), strict=True):
                 flags, sizes, ids = C.unpack(flags, np.uint8), C.unpack(sizes, np.uint32).astype(np.int64), C.unpack(ids, np.uint32)
                 train = np.repeat(flags & 1, sizes).astype(bool)
-                two, three = ngrams(np.where(ids < TAIL, ids, np.uint32(0)), sizes)
+                two, three = ngrams(ids, sizes, C.unpack(tail, np.uint64))
                 if filter_ is None:
                     k = two[(two > 0) & train]
                 else:
@@ -318,17 +318,18 @@ def count_ngrams(tok: DataFrame, parts: int, least: int, base, filter_=None) ->
             for lo in range(0, len(k), 1 << 18):
                 yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + (1 << 18)]) for x in cols], schema=out)
 
-    return tok.where("w is null").select("flags", "sizes", "ids").mapInArrow(gather, BLOB_SQL).repartitionById(parts, "pid").mapInArrow(total, "key long, n long, c long, p double")
+    return tok.where("w is null").select("flags", "sizes", "ids", "tail").mapInArrow(gather, BLOB_SQL).repartitionById(parts, "pid").mapInArrow(total, "key long, n long, c long, p double")
 
 
-def count_tail(tok: DataFrame, least: int, filter_=None) -> DataFrame:
-    """count_ngrams() of what has a tail word.
+def tail_parts(tok: DataFrame, counted: DataFrame, trigrams: bool) -> DataFrame:
+    """What the counted n-grams (key, n) with a tail word consist of; n-grams that are too rare aren't shuffled.
 
     Bigrams are (key, a, aw, x, xw, n), with the ids of context and symbol, or the tail
     words that they are; trigrams (key, ctx, suffix, n), with the keys of their bigrams.
     """
-    names = ("key", "a", "aw", "x", "xw", "n") if filter_ is None else ("key", "ctx", "suffix", "n")
-    out = pa.schema([(c, pa.int64()) for c in names])
+    names = ("ctx", "suffix") if trigrams else ("a", "aw", "x", "xw")
+    out = pa.schema([(c, pa.int64()) for c in ("key", *names)])
+    shared = tok.sparkSession.sparkContext.broadcast(C.pack(C.key_filter(counted.select("key"))))
     opened: dict = {}
 
     def gather(batches):
@@ -337,33 +338,30 @@ def count_tail(tok: DataFrame, least: int, filter_=None) -> DataFrame:
                 flags, sizes, ids, tail = C.unpack(flags, np.uint8), C.unpack(sizes, np.uint32).astype(np.int64), C.unpack(ids, np.uint32), C.unpack(tail, np.uint64)
                 if not len(tail):
                     continue
-                train = np.repeat(flags & 1, sizes).astype(bool)
+                if not opened:
+                    opened["f"] = C.unpack(shared.value, np.uint8)
                 two, three = ngrams(ids, sizes, tail)
-                if filter_ is None:
-                    k, at, n = np.unique(two[some := np.flatnonzero((two >= HASHED) & train)], return_index=True, return_counts=True)
-                    at = some[at]
-                    cols: list = [pa.array(k.view(np.int64))]
+                every = three if trigrams else two
+                some = np.flatnonzero((every >= HASHED) & np.repeat(flags & 1, sizes).astype(bool))
+                some = some[C.may_hold(opened["f"], every[some])]
+                k, at = np.unique(every[some], return_index=True)
+                at = some[at]
+                cols: list = [pa.array(k.view(np.int64))]
+                if trigrams:
+                    cols += pa.array(two[at - 1].view(np.int64)), pa.array(two[at].view(np.int64))
+                else:
                     for x in (ids[at - 1], ids[at]):
                         big = x >= TAIL
                         word = np.where(big, tail[np.where(big, x - np.uint32(TAIL), 0)], np.uint64(0))
                         cols += pa.array(np.where(big, 0, x).astype(np.int64), mask=big), pa.array(word.view(np.int64), mask=~big)
-                else:
-                    if not opened:
-                        opened["f"] = C.unpack(filter_.value, np.uint8)
-                    some = np.flatnonzero((three >= HASHED) & train)
-                    some = some[C.may_hold(opened["f"], two[some])]
-                    some = some[C.may_hold(opened["f"], two[some - 1])]
-                    k, at, n = np.unique(three[some], return_index=True, return_counts=True)
-                    at = some[at]
-                    cols = [pa.array(x.view(np.int64)) for x in (k, two[at - 1], two[at])]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(n)], schema=out)
+                yield pa.RecordBatch.from_arrays(cols, schema=out)
 
-    rows = tok.where("w is null").select("flags", "sizes", "ids", "tail").mapInArrow(gather, ", ".join(f"{c} long" for c in names))
-    return rows.groupBy("key").agg(*(F.first(c).alias(c) for c in names[1:-1]), F.sum("n").alias("n")).where(F.col("n") >= least)
+    rows = tok.where("w is null").select("flags", "sizes", "ids", "tail").mapInArrow(gather, ", ".join(f"{c} long" for c in ("key", *names)))
+    return rows.groupBy("key").agg(*(F.first(c).alias(c) for c in names)).join(counted, "key").select("key", *names, "n")
 
 
 def tail_bigrams(found: DataFrame, words: DataFrame, base, denominator: float) -> DataFrame:
-    """(key, a, n, c, p, unit) of count_tail()'s bigrams: as count_ngrams() has them, the context (an id, or the negative key of a tail word's weight), and the base probability of a symbol of the tail, else 1."""
+    """(key, a, n, c, p, unit) of tail_parts()'s bigrams: as count_ngrams() has them, the context (an id, or the negative key of a tail word's weight), and the base probability of a symbol of the tail, else 1."""
     known = words.select("w", F.col("n").alias("of"))
 
     def join(df: DataFrame, word: str, name: str) -> DataFrame:
@@ -389,7 +387,7 @@ def tree(bigrams: DataFrame, trigrams: DataFrame, words: int, discount: float, g
     """The weights of one-word contexts by word id (1 where not retained), and (key, value) of all else that scoring looks up.
 
     The values are listed probabilities for bigram and trigram keys, and weights for
-    the keys of two-word contexts.  `tail` are tail_bigrams() and count_tail()'s trigrams,
+    the keys of two-word contexts.  `tail` are tail_bigrams() and tail_parts()'s trigrams,
     with which contexts of one tail word have weights there.
     """
     spark = bigrams.sparkSession
@@ -493,18 +491,14 @@ def score(docs: DataFrame, discount: float = DISCOUNT, gain: float = GAIN, symbo
     base = spark.sparkContext.broadcast((np.append(0, sizes), p0))
     bigrams = C.materialize(count_ngrams(tok, parts, least, base), "bigrams")
     C.release(spark)
-    frequent, tail = bigrams.select("key"), None
-    if rest_words is not None:
-        found = C.materialize(count_tail(tok, least), "tail-counts")
-        more = C.materialize(tail_bigrams(found, rest_words, base, denominator), "tail-bigrams")
-        C.discard(found)
-        frequent = frequent.union(more.select("key"))
-    frequent = spark.sparkContext.broadcast(C.pack(C.key_filter(frequent)))
+    frequent = spark.sparkContext.broadcast(C.pack(C.key_filter(bigrams.select("key"))))
     trigrams = C.materialize(count_ngrams(tok, parts, least, base, frequent), "trigrams")
-    if rest_words is not None:
-        tail = more, C.materialize(count_tail(tok, least, frequent), "tail-trigrams")
     C.release(spark)
-    w1, values = tree(bigrams, trigrams, end, discount, gain, symbol, tail)
+    tail = None
+    if rest_words is not None:
+        two, three = (g.where("key < 0").select("key", "n") for g in (bigrams, trigrams))
+        tail = C.materialize(tail_bigrams(tail_parts(tok, two, False), rest_words, base, denominator), "tail-bigrams"), C.materialize(tail_parts(tok, three, True), "tail-trigrams")
+    w1, values = tree(bigrams.where("key > 0"), trigrams.where("key > 0"), end, discount, gain, symbol, tail)
     C.discard(bigrams, trigrams, *(tail or ()))
     bits = C.key_filter(values.select("key"))
     C.release(spark)
