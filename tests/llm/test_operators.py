@@ -591,3 +591,39 @@ def test_line_clusters_over_many_batches(spark, monkeypatch):
 def test_distinct():
     x = np.random.default_rng(5).integers(0, 1 << 63, 400_000, np.uint64) % np.uint64(300_000)
     assert (common.distinct(x) == np.array(sorted(set(x.tolist())), np.uint64)).all() and len(common.distinct(x[:0])) == 0
+
+
+def test_line_dedup_of_lines_that_repeat_a_few_words(spark):
+    r = np.random.default_rng(23)
+    rows = []
+    for i in range(40):
+        line = [f"w{i}x{k}" for k in r.permutation(6)] * 100
+        rows += [(i, " ".join(line)), (100 + i, " ".join([*line[:300], "other", *line[301:]]))]
+    got = {x.doc_id for x in line_dedup.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {100 + i for i in range(40)}
+
+
+def test_line_dedup_sends_few_runs_of_long_lines_and_misses_few(spark):
+    r = np.random.default_rng(5)
+    lengths, met, sent = line_dedup.run_length(0.8), 0, 0
+    for _ in range(400):
+        n = int(r.integers(40, 200))
+        a = r.integers(1, 1 << 63, n, np.uint64)
+        b = a.copy()
+        b[np.linspace(0, n - 1, int(0.2 * n) + 2)[1:-1].astype(int)] = r.integers(1, 1 << 63, int(0.2 * n), np.uint64)  # edits spread as badly as can be
+        keys, line = line_dedup.run_keys(np.concatenate([a, b]), np.array([n, n]), lengths, 0.8)
+        met += len(np.intersect1d(keys[line == 0], keys[line == 1])) > 0
+        sent += len(keys)
+    assert met >= 392 and sent < 800 * 16
+
+
+def test_scan_in_pieces(monkeypatch):
+    texts = ["Don't  stop\n\nat x-y", "", "\n", "\xc9t\xe9 1st\tline \x00", "a b " * 50]
+    whole = shingles.scan(texts)
+    assert whole[1].tolist() == [0, 0, 2, 2, 6, 6, 6, *[7] * 100]
+    for near, chunk in ((3, 1 << 20), (3, 8)):
+        monkeypatch.setattr(shingles, "NEAR", near)
+        monkeypatch.setattr(shingles, "CHUNK", chunk)
+        got = shingles.scan(texts)
+        assert (got[0] == whole[0]).all() and (got[1] == whole[1]).all()
+    assert whole[0][0] == shingles.word_hashes("dont")[0] and len(shingles.scan([])[0]) == 0
