@@ -16,8 +16,9 @@ shuffles, combined per map batch.  Only things of fixed size are broadcast: the
 `VOCABULARY` most frequent words, and Bloom filters of 2^27 bits over the other words
 and the tree's keys, which decide what is asked, never what is answered.  The tree
 itself grows with the corpus and stays partitioned: every batch of documents sends
-the keys that pass the filter to their partitions and gets the values back.  Words
-are known by 64-bit hashes.
+the keys that pass the filter to their partitions and gets the values back, in `ROUNDS`
+parts one after the other, so that a part's requests and answers alone are on disk.
+Words are known by 64-bit hashes.
 
 The vocabulary is a fast tier, not a bound: n-grams of its words have keys of three
 20-bit ids.  n-grams with another word that occurs often enough to be in one (the tail)
@@ -29,6 +30,7 @@ factor of what is predicted; so probabilities listed for such symbols are in uni
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,7 @@ SYMBOL = -math.inf  # every symbol of a retained context
 BATCH = 250_000  # tokens a batch
 FLUSH = 1_500_000  # keys that a map task combines at a time
 SHARE = 6_000_000  # keys a reduce partition
+ROUNDS = 4  # batches are scored in so many parts: the requests and answers of one are on disk at a time
 CONTEXT = np.uint64(1 << 62)  # marks the key of a context's weight
 HASHED = np.uint64(1 << 63)  # marks keys with a tail word
 NONE = np.zeros(0, np.uint64)
@@ -172,7 +175,7 @@ def tokenized(docs: DataFrame, vocab, end: int, others=None) -> DataFrame:
             blank = pa.nulls(k, pa.binary())
             cols = [
                 np.full(k + 1, serial), pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(w[first].view(np.int64))]), np.append(len(size), row[first]).astype(np.int32), np.append(0, times),
-                *(pa.concat_arrays([pa.array([C.pack(x)], pa.binary()), blank]) for x in (np.array([x or 0 for x in names], np.int64), np.array([x is None for x in names], np.uint8), np.array(flags, np.uint8), (size + 1).astype(np.uint32), whole, tail)),
+                *(pa.concat_arrays([pa.array([x], pa.binary()), blank]) for x in (*map(C.pack, (np.array([x or 0 for x in names], np.int64), np.array([x is None for x in names], np.uint8), np.array(flags, np.uint8), (size + 1).astype(np.uint32))), C.pack_planes(whole), C.pack(tail))),
             ]
             serial += 1
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, np.ndarray) else c for c, f in zip(cols, TOK, strict=True)], schema=TOK)
@@ -286,7 +289,7 @@ def count_ngrams(tok: DataFrame, parts: int, least: int, base, filter_=None) ->
 
         for b in batches:
             for flags, sizes, ids, tail in zip(*(b.column(c).to_pylist() for c in ("flags", "sizes", "ids", "tail")), strict=True):
-                flags, sizes, ids = C.unpack(flags, np.uint8), C.unpack(sizes, np.uint32).astype(np.int64), C.unpack(ids, np.uint32)
+                flags, sizes, ids = C.unpack(flags, np.uint8), C.unpack(sizes, np.uint32).astype(np.int64), C.unpack_planes(ids)
                 train = np.repeat(flags & 1, sizes).astype(bool)
                 two, three = ngrams(ids, sizes, C.unpack(tail, np.uint64))
                 if filter_ is None:
@@ -335,7 +338,7 @@ def tail_parts(tok: DataFrame, counted: DataFrame, trigrams: bool) -> DataFrame:
     def gather(batches):
         for b in batches:
             for flags, sizes, ids, tail in zip(*(b.column(c).to_pylist() for c in ("flags", "sizes", "ids", "tail")), strict=True):
-                flags, sizes, ids, tail = C.unpack(flags, np.uint8), C.unpack(sizes, np.uint32).astype(np.int64), C.unpack(ids, np.uint32), C.unpack(tail, np.uint64)
+                flags, sizes, ids, tail = C.unpack(flags, np.uint8), C.unpack(sizes, np.uint32).astype(np.int64), C.unpack_planes(ids), C.unpack(tail, np.uint64)
                 if not len(tail):
                     continue
                 if not opened:
@@ -438,10 +441,12 @@ def tree(bigrams: DataFrame, trigrams: DataFrame, words: int, discount: float, g
         return g.join(two.select(F.col("key").alias("suffix"), "p", *more), "suffix").join(two.select(F.col("key").alias("ctx"), F.col("n").alias("c")), "ctx").select("key", "ctx", "n", "c", "p", *more)
 
     three = attached(trigrams.select("key", "n", F.shiftright("key", BITS).alias("ctx"), F.col("key").bitwiseAND(F.lit((1 << 2 * BITS) - 1)).alias("suffix")))
-    if tail:
-        three = three.withColumn("unit", F.lit(1.0)).unionByName(attached(tail[1], "unit"))
-    three = C.materialize(three, "trigrams")
+    whole = [C.materialize(three.withColumn("unit", F.lit(1.0)) if tail else three, "trigrams")]
     C.release(spark)
+    if tail:  # by itself, so that the shuffle files of one join are on disk at a time
+        whole.append(C.materialize(attached(tail[1], "unit").select(whole[0].columns), "tail-trigrams"))
+        C.release(spark)
+    three = reduce(DataFrame.union, whole)
     pair = C.materialize(retained(three, "ctx"), "weights")
     unit = F.col("unit") if tail else F.lit(1.0)
     listed = three.where(own >= symbol).join(pair, "ctx", "left_semi").select("key", ((F.col("n") - discount) / F.col("c") / unit).cast("float").alias("value"))
@@ -449,7 +454,7 @@ def tree(bigrams: DataFrame, trigrams: DataFrame, words: int, discount: float, g
     if tail:
         values = values.union(lone.select(F.col("a").alias("key"), F.col("weight").cast("float").alias("value")))
     out = C.materialize(values, "tree")
-    C.discard(two, three, pair, *([single] if tail else []))
+    C.discard(two, *whole, pair, *([single] if tail else []))
     return np.where(np.isnan(weight), np.float32(1), weight), out
 
 
@@ -516,7 +521,7 @@ def score(docs: DataFrame, discount: float = DISCOUNT, gain: float = GAIN, symbo
     def ask(batches):
         for b in batches:
             for batch, sz, ids, tail in zip(*(b.column(c).to_pylist() for c in ("batch", "sizes", "ids", "tail")), strict=True):
-                k, at = asked_keys(C.unpack(ids, np.uint32), C.unpack(sz, np.uint32).astype(np.int64), C.unpack(tail, np.uint64))
+                k, at = asked_keys(C.unpack_planes(ids), C.unpack(sz, np.uint32).astype(np.int64), C.unpack(tail, np.uint64))
                 if len(at):
                     yield blobs(C.distinct(k[at]), None, parts, batch)
 
@@ -552,13 +557,6 @@ def score(docs: DataFrame, discount: float = DISCOUNT, gain: float = GAIN, symbo
             if hit.any():  # which of the asked keys, and their values: the batch knows the keys
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([batch]), pa.array([C.pack(np.packbits(hit))], pa.binary()), pa.array([C.pack(v[at[hit]])], pa.binary())], schema=BLOB)
 
-    whole = tok.where("w is null")
-    asked = whole.select("batch", "sizes", "ids", "tail").mapInArrow(ask, BLOB_SQL).union(values.mapInArrow(model, BLOB_SQL))
-    answers = C.materialize(asked.repartitionById(parts, "pid").mapInArrow(answer, BLOB_SQL), "answers")
-    del asked
-    C.discard(values)
-    C.release(spark)
-    C.release(spark)
     out = pa.schema([("batch", pa.int64()), ("row", pa.int32()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def finish(batches):
@@ -575,7 +573,8 @@ def score(docs: DataFrame, discount: float = DISCOUNT, gain: float = GAIN, symbo
                     t = rest
                 else:
                     got[p] = hits, v
-            ids_of, nulls, flags, sz, ids, tail = (C.unpack(x, kind) for x, kind in zip(t, (np.int64, np.uint8, np.uint8, np.uint32, np.uint32, np.uint64), strict=True))
+            ids_of, nulls, flags, sz, tail = (C.unpack(x, kind) for x, kind in zip((*t[:4], t[5]), (np.int64, np.uint8, np.uint8, np.uint32, np.uint64), strict=True))
+            ids = C.unpack_planes(t[4])
             sz = sz.astype(np.int64)
             every, asked = asked_keys(ids, sz, tail)
             order = np.argsort(every[asked])
@@ -608,11 +607,24 @@ def score(docs: DataFrame, discount: float = DISCOUNT, gain: float = GAIN, symbo
             )
 
     cols = ("docs", "nulls", "flags", "sizes", "ids", "tail")
-    both = whole.select("batch", F.lit(None).cast("int").alias("pid"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("vals"), *cols).union(answers.select("batch", "pid", "keys", "vals", *(F.lit(None).cast("binary").alias(c) for c in cols)))
-    n_batches = whole.count()
-    to = max(C.partitions(spark), n_batches // 4)
+    to = max(C.partitions(spark), tok.where("w is null").count() // (4 * ROUNDS))
     place = F.pmod(F.hash("batch"), F.lit(to))
-    done = both.repartitionById(to, place).mapInArrow(finish, "batch long, row int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    listed = C.materialize(values.mapInArrow(model, BLOB_SQL), "model")
+    C.discard(values)
+    rounds = []
+    for i in range(ROUNDS):
+        whole = tok.where(F.col("w").isNull() & (F.pmod(F.col("batch") + F.shiftright("batch", 24), F.lit(ROUNDS)) == i))
+        asked = whole.select("batch", "sizes", "ids", "tail").mapInArrow(ask, BLOB_SQL).union(listed)
+        answers = C.materialize(asked.repartitionById(parts, "pid").mapInArrow(answer, BLOB_SQL), "answers")
+        del asked
+        C.release(spark)
+        both = whole.select("batch", F.lit(None).cast("int").alias("pid"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("vals"), *cols).union(answers.select("batch", "pid", "keys", "vals", *(F.lit(None).cast("binary").alias(c) for c in cols)))
+        rounds.append(C.materialize(both.repartitionById(to, place).mapInArrow(finish, "batch long, row int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"), "scores"))
+        del both
+        C.discard(answers)
+        C.release(spark)
+    C.discard(listed)
+    done = reduce(DataFrame.union, rounds)
     rare = tok.where("w is not null").select("w", "batch", "row", F.col("n").alias("m")).join(counts, "w", "left")
     rare = rare.groupBy("batch", "row").agg(F.sum(F.col("m") * F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(denominator))).alias("r"), F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0)).alias("known"))
     more = F.coalesce("r", F.lit(0.0))

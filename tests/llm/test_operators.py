@@ -627,3 +627,21 @@ def test_scan_in_pieces(monkeypatch):
         got = shingles.scan(texts)
         assert (got[0] == whole[0]).all() and (got[1] == whole[1]).all()
     assert whole[0][0] == shingles.word_hashes("dont")[0] and len(shingles.scan([])[0]) == 0
+
+
+def test_lm_scoring_asks_for_a_part_of_the_batches_at_a_time(spark, docs, monkeypatch):
+    whole = {(r.doc_id, r.score, r.base_score) for r in suffix_tree.score(docs).collect()}
+    seen, put = [], common.materialize
+
+    def spy(df, name):
+        out = put(df, name)
+        if name == "answers":
+            seen.append({r.batch for r in out.select("batch").distinct().collect()})
+        return out
+
+    monkeypatch.setattr(common, "materialize", spy)
+    parts = {(r.doc_id, r.score, r.base_score) for r in suffix_tree.score(docs.repartition(8)).collect()}
+    assert len(seen) > 1 and all(seen) and len(set.union(*seen)) == sum(map(len, seen))
+    assert len(whole) == len(parts)
+    near = {d: (a, b) for d, a, b in whole}
+    assert all(abs(near[d][0] - a) < 1e-6 and abs(near[d][1] - b) < 1e-6 for d, a, b in parts)
