@@ -603,6 +603,44 @@ def test_line_dedup_of_lines_that_repeat_a_few_words(spark):
     assert got == {100 + i for i in range(40)}
 
 
+def test_line_dedup_of_lines_that_repeat_a_few_words_but_for_many_others(spark):
+    """Of the distinct words most are apart, of all words few."""
+    rows = []
+    for i in range(30):
+        line = [f"w{i}x{k % 6}" for k in range(300)]
+        other = [f"o{i}x{k}" if k % 6 == 0 else x for k, x in enumerate(line)]
+        rows += [(i, " ".join(line)), (100 + i, " ".join(other))]
+        assert line_dedup.similar(*(shingles.word_hashes(" ".join(x)) for x in (line, other)), 0.8)
+    got = {x.doc_id for x in line_dedup.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {100 + i for i in range(30)}
+
+
+def test_lines_that_repeat_common_words_make_no_large_cluster(spark):
+    """Lines of eight words of 60, each many times in a row: nearly all share a run of one word, and nearly none are similar."""
+    r = random.Random(41)
+    rows = [(i, " ".join(x for w in r.sample(range(60), 8) for x in [f"w{w}"] * r.randrange(10, 60))) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    met = common.materialize(line_dedup.candidates(df, 0.8, 5), "met")
+    words = common.materialize(line_dedup.words_of_lines(df, line_dedup.occurrences(df, 5), 5), "words")
+    got = line_dedup.clusters(met, words, 0.8).collect()
+    assert max((x.n for x in got), default=0) < 20
+    assert {x.doc_id for x in line_dedup.repeated(df).collect()} == set(brute_lines(rows))
+
+
+def test_numbered_hashes_share_what_bags_of_words_share(monkeypatch):
+    r = np.random.default_rng(3)
+    lines = [r.integers(1, k, n).astype(np.uint64) << np.uint64(20) for n, k in ((1, 2), (40, 5), (40, 5), (40, 1000), (5, 2), (70, 9), (70, 9))]
+    owner = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    whole = line_dedup.numbered(np.concatenate(lines), owner)
+    for i, a in enumerate(lines):
+        assert len(set(whole[owner == i].tolist())) == len(a)
+        for j, b in enumerate(lines):
+            assert len(np.intersect1d(whole[owner == i], whole[owner == j])) == sum((Counter(a.tolist()) & Counter(b.tolist())).values())
+    long = np.tile(np.concatenate(lines), 1000)
+    got = line_dedup.numbered(long, np.repeat(np.arange(1000 * len(lines)), np.tile([len(x) for x in lines], 1000)))
+    assert (np.sort(got) == np.sort(np.tile(whole, 1000))).all()
+
+
 def test_line_dedup_sends_few_runs_of_long_lines_and_misses_few(spark):
     r = np.random.default_rng(5)
     lengths, met, sent = line_dedup.run_length(0.8), 0, 0
