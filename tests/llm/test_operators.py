@@ -565,6 +565,20 @@ def test_word_bits_refuse_no_similar_lines():
     assert same.sum() > 50 and may[same].all() and may.sum() < 3 * same.sum()
 
 
+def test_ones():
+    r = np.random.default_rng(6)
+    for k in (8, 64):
+        for x in (r.integers(0, 1 << 64, (50, k), np.uint64), np.full((2, k), ~np.uint64(0)), np.zeros((0, k), np.uint64)):
+            assert line_dedup.ones(x).tolist() == [sum(int(a).bit_count() for a in row) for row in x]
+
+
+def test_occurrences_hold_the_words_of_long_lines(spark):
+    rows = [(1, "a b c d e f\n\na b"), (2, "x y z"), (3, ""), (4, "g h i j k\na b c d e f")]
+    got = line_dedup.occurrences(spark.createDataFrame(rows, "doc_id long, text string"), 1, 5).collect()
+    want = {(d, i): (shingles.word_hashes(t) >> np.uint64(32)).astype(np.uint32).tobytes() if len(t.split()) >= 5 else None for d, x in rows for i, t in enumerate(x.split("\n")) if t}
+    assert {(x.doc_id, x.line): x.words and bytes(x.words) for x in got} == want
+
+
 def test_line_clusters_over_many_batches(spark, monkeypatch):
     """A task that holds only part of its groups at a time finds the same clusters."""
     r = random.Random(9)
